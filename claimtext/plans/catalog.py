@@ -241,3 +241,222 @@ def extract_member_side_counts(spark, sf):
     """Flagship: which body part and side does each description mention?"""
     return (_extract(spark, sf).groupBy("member", "side")
             .agg(F.count(F.lit(1)).alias("n_tuples"), F.countDistinct("claim_id").alias("n_claims")))
+
+
+# ---------------------------------------------------------------------------
+# Vocabularies and the vocabulary filter
+# ---------------------------------------------------------------------------
+
+from claimtext.operators import retrieve as RT  # noqa: E402
+from claimtext.operators import vocab as VO  # noqa: E402
+
+
+def _vocab_sql(text: str, table: str) -> str:
+    s = S.punct(S.numbers(f"lower({text})"))
+    t = S.ws_tokens(S.apostrophe(f"array_to_string({S.drop_stop(S.ws_tokens(s))}, ' ')"))
+    return (f"SELECT DISTINCT w AS word FROM (SELECT unnest({t}) AS w FROM {table}) "
+            f"WHERE length(w) > 2 AND NOT list_contains({S.stop_list()}, w)")
+
+
+@register("vocabulary_nostem", _vocab_sql("text", "documents"))
+def vocabulary_nostem(spark, sf):
+    return VO.vocabulary(V.read(spark, sf, "documents"), "text", stem=False)
+
+
+@register("vocabulary_stem")
+def vocabulary_stem(spark, sf):
+    """P17 with stemming (no SQL stemmer in the oracle: rows-only check)."""
+    return VO.vocabulary(V.read(spark, sf, "documents"), "text", stem=True)
+
+
+@register("abbreviation_vocabulary",
+          f"SELECT DISTINCT unnest({S.raw_tokens('lower(text)')}) AS word FROM benchmark")
+def abbreviation_vocabulary(spark, sf):
+    return VO.abbreviation_vocabulary(V.read(spark, sf, "benchmark"), "text")
+
+
+@register("stem_dictionary")
+def stem_dictionary(spark, sf):
+    """Every distinct cleaned token of the corpus and its stem (rows-only)."""
+    d = V.read(spark, sf, "documents").select(TX.process_tokens("text").alias("t"))
+    return VO.stem_dictionary(d, "t", ignore_stopwords=True)
+
+
+def _bench_vocab(spark, sf):
+    """Distinct tokens of the prepared benchmark lines."""
+    b = V.read(spark, sf, "benchmark")
+    return b.select(F.explode(TX.ws_tokens(TX.extraction_line("text"))).alias("word")).distinct()
+
+
+_BENCH_VOCAB_SQL = (f"SELECT DISTINCT unnest({S.ws_tokens(S.extraction_line('text'))}) AS word FROM benchmark")
+
+
+@register("vocabulary_filter", f"""
+WITH docs AS (SELECT doc_id, {S.extraction_line('text')} AS line FROM documents),
+vocab AS ({_BENCH_VOCAB_SQL}),
+toks AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS pos
+         FROM (SELECT doc_id, {S.ws_tokens('line')} AS t FROM docs)),
+kept AS (SELECT doc_id, string_agg(w || ' ', '' ORDER BY pos) AS filtered
+         FROM toks WHERE lower(w) IN (SELECT word FROM vocab) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(k.filtered, '') AS filtered FROM docs d LEFT JOIN kept k USING (doc_id)""")
+def vocabulary_filter(spark, sf):
+    d = V.read(spark, sf, "documents").select("doc_id", TX.extraction_line("text").alias("line"))
+    out = VO.vocabulary_filter(d, ["doc_id"], "line", _bench_vocab(spark, sf), stem=False, out_col="filtered")
+    return out.select("doc_id", "filtered")
+
+
+@register("vocabulary_filter_stem")
+def vocabulary_filter_stem(spark, sf):
+    """V1 with stems on both sides (rows-only check)."""
+    d = V.read(spark, sf, "documents").select("doc_id", TX.extraction_line("text").alias("line"))
+    vocab = VO.vocabulary(V.read(spark, sf, "benchmark"), "text", stem=True)
+    out = VO.vocabulary_filter(d, ["doc_id"], "line", vocab, stem=True, out_col="filtered")
+    return out.select("doc_id", "filtered")
+
+
+# ---------------------------------------------------------------------------
+# TF-IDF retrieval
+# ---------------------------------------------------------------------------
+
+TOP_K = 5
+
+
+def _corpus(spark, sf):
+    """Documents cleaned with the P13 chain (no stemming); label = source."""
+    return V.read(spark, sf, "documents").select("doc_id", TX.process_string("text").alias("clean"),
+                                                  F.col("doc_id").alias("code"), F.col("source").alias("label"))
+
+
+def _model(spark, sf):
+    return RT.fit(_corpus(spark, sf), "doc_id", "clean")
+
+
+_TFIDF_CTE = f"""
+corpus AS (SELECT doc_id, {S.joined(S.process_tokens('text'))} AS clean, source FROM documents),
+post AS (SELECT doc_id, term, count(*) AS tf
+         FROM (SELECT doc_id, unnest(regexp_extract_all(lower(clean), {S.q(K.TERM_PATTERN)})) AS term FROM corpus)
+         GROUP BY doc_id, term),
+ndocs AS (SELECT count(*) AS n FROM documents),
+idf AS (SELECT term, ln((1 + any_value(ndocs.n)) / (1 + count(*))) + 1 AS idf FROM post, ndocs GROUP BY term),
+w0 AS (SELECT doc_id, term, tf * idf AS w0 FROM post JOIN idf USING (term)),
+w AS (SELECT doc_id, term, w0 / sqrt(sum(w0 * w0) OVER (PARTITION BY doc_id)) AS weight FROM w0)"""
+
+
+def _query_weights_cte(qtable: str) -> str:
+    return f"""
+qpost AS (SELECT query_id, term, count(*) AS tf
+          FROM (SELECT query_id, unnest(regexp_extract_all(lower(qclean), {S.q(K.TERM_PATTERN)})) AS term FROM {qtable})
+          GROUP BY query_id, term),
+qw0 AS (SELECT query_id, term, tf * idf AS w0 FROM qpost JOIN idf USING (term)),
+qw AS (SELECT query_id, term, w0 / sqrt(sum(w0 * w0) OVER (PARTITION BY query_id)) AS weight FROM qw0),
+scores AS (SELECT query_id, doc_id, sum(qw.weight * w.weight) AS score FROM qw JOIN w USING (term) GROUP BY 1, 2),
+allpairs AS (SELECT qs.query_id, d.doc_id, coalesce(s.score, 0.0) AS score
+             FROM (SELECT DISTINCT query_id FROM {qtable}) qs CROSS JOIN (SELECT doc_id FROM documents) d
+             LEFT JOIN scores s ON s.query_id = qs.query_id AND s.doc_id = d.doc_id),
+ranked AS (SELECT query_id, doc_id, score,
+                  row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id DESC) AS rank
+           FROM allpairs),
+topk AS (SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ranked WHERE rank <= {TOP_K})"""
+
+
+@register("tfidf_weights", f"WITH {_TFIDF_CTE} SELECT doc_id, term, round(weight, 6) AS weight FROM w")
+def tfidf_weights(spark, sf):
+    m = _model(spark, sf)
+    return m.weights.select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+_BENCH_Q = f"SELECT item_id AS query_id, text, {S.joined(S.process_tokens('text', distinct=True))} AS qclean FROM benchmark"
+
+
+def _bench_queries(spark, sf):
+    return V.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text",
+                                                 TX.process_string_distinct("text").alias("qclean"))
+
+
+@register("tfidf_query_weights",
+          f"WITH {_TFIDF_CTE}, bq AS ({_BENCH_Q}), {_query_weights_cte('bq')} "
+          f"SELECT query_id, term, round(weight, 6) AS weight FROM qw")
+def tfidf_query_weights(spark, sf):
+    qw = RT.transform(_model(spark, sf), _bench_queries(spark, sf), "query_id", "qclean")
+    return qw.select("query_id", "term", F.round("weight", 6).alias("weight"))
+
+
+@register("topk_similar", f"WITH {_TFIDF_CTE}, bq AS ({_BENCH_Q}), {_query_weights_cte('bq')} SELECT * FROM topk")
+def topk_similar(spark, sf):
+    m = _model(spark, sf)
+    q = _bench_queries(spark, sf)
+    qw = RT.transform(m, q, "query_id", "qclean")
+    return RT.top_k(m, RT.score(m, qw), q.select("query_id"), TOP_K)
+
+
+def _labels_sql(qtable_cte: str, diag: str) -> str:
+    return f"""WITH {_TFIDF_CTE}, {qtable_cte}, {_query_weights_cte('bq')},
+lab AS (SELECT t.query_id, string_agg(c.doc_id::VARCHAR || ' - ' || c.source, ' | ' ORDER BY t.rank) AS codes
+        FROM topk t JOIN corpus c USING (doc_id) GROUP BY t.query_id)
+SELECT bq.query_id, {diag} AS Diagnostic, coalesce(lab.codes, '') AS CIM10s
+FROM bq LEFT JOIN lab USING (query_id)"""
+
+
+def _vocab_filter_sql(table: str, id_col: str, text_expr: str, tokens_fn) -> str:
+    return f"""
+src AS (SELECT {id_col} AS query_id, {text_expr} AS raw FROM {table}),
+vocab AS ({_vocab_sql('text', 'documents')}),
+vtoks AS (SELECT query_id, unnest(t) AS w, generate_subscripts(t, 1) AS pos FROM (SELECT query_id, {tokens_fn('raw')} AS t FROM src)),
+vkept AS (SELECT query_id, string_agg(w || ' ', '' ORDER BY pos) AS kept
+          FROM vtoks WHERE lower(w) IN (SELECT word FROM vocab) GROUP BY query_id),
+filtered AS (SELECT s.query_id, s.raw, coalesce(k.kept, '') AS kept FROM src s LEFT JOIN vkept k USING (query_id))"""
+
+
+_TOPK_LABELS_SQL = _labels_sql(
+    _vocab_filter_sql("benchmark", "item_id", "text", S.raw_tokens).lstrip()
+    + f",\nbq AS (SELECT query_id, raw, {S.joined(S.process_tokens('kept', distinct=True))} AS qclean FROM filtered)",
+    "bq.raw")
+
+
+def _flat_codes(df):
+    return df.select("query_id", "Diagnostic", F.array_join("CIM10s", " | ").alias("CIM10s"))
+
+
+@register("topk_labels", _TOPK_LABELS_SQL)
+def topk_labels(spark, sf):
+    """R8 per benchmark item: vocabulary filter (raw tokens) -> P14 -> TF-IDF top k -> 'code - label'."""
+    b = V.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    vocab = VO.vocabulary(V.read(spark, sf, "documents"), "text", stem=False)
+    f = VO.vocabulary_filter(b, ["query_id"], "text", vocab, tokenizer="raw", stem=False, out_col="kept")
+    c = _corpus(spark, sf)
+    res = RT.retrieve(RT.fit(c, "doc_id", "clean"), f, c.select("doc_id", "code", "label"), TOP_K,
+                      query_id="query_id", text_col="kept", diagnostic_col="text")
+    return _flat_codes(res)
+
+
+def _tuple_queries(spark, sf):
+    t = _extract(spark, sf)
+    vocab = VO.vocabulary(V.read(spark, sf, "documents"), "text", stem=False)
+    f = VO.vocabulary_filter(t, ["claim_id", "seq"], "phrase", vocab, stem=False)
+    return f.select((F.col("claim_id") * 1000 + F.col("seq")).alias("query_id"), F.col("phrase").alias("Diagnostic"),
+                    RT.query_text_from_tuple("phrase", "member", "side").alias("qtext"))
+
+
+def _retrieve_tuples_sql() -> str:
+    ext = _extract_sql()
+    src = (f"SELECT claim_id * 1000 + seq AS query_id, phrase AS raw, member, side "
+           f"FROM ({ext})")
+    vf = _vocab_filter_sql(f"({src})", "query_id", "raw", S.ws_tokens).replace(
+        "src AS (SELECT query_id AS query_id, raw AS raw FROM", "src AS (SELECT query_id, raw, member, side FROM", 1)
+    vf = vf.replace("filtered AS (SELECT s.query_id, s.raw, coalesce(k.kept, '') AS kept",
+                    "filtered AS (SELECT s.query_id, s.member, s.side, coalesce(k.kept, '') AS kept", 1)
+    qt = ("concat_ws('', CASE WHEN kept <> 'inconnu' THEN kept || ' ' END, "
+          "CASE WHEN member <> 'inconnu' THEN member || ' ' END, CASE WHEN side <> 'inconnu' THEN side || ' ' END)")
+    bq = (f",\nbq AS (SELECT query_id, kept AS raw, "
+          f"{S.joined(S.process_tokens(qt, distinct=True))} AS qclean FROM filtered)")
+    return _labels_sql(vf.lstrip() + bq, "bq.raw")
+
+
+@register("retrieve_from_tuples", _retrieve_tuples_sql())
+def retrieve_from_tuples(spark, sf):
+    """Extracted tuples -> vocabulary filter -> query text -> TF-IDF top k."""
+    q = _tuple_queries(spark, sf)
+    c = _corpus(spark, sf)
+    res = RT.retrieve(RT.fit(c, "doc_id", "clean"), q, c.select("doc_id", "code", "label"), TOP_K,
+                      query_id="query_id", text_col="qtext", diagnostic_col="Diagnostic")
+    return _flat_codes(res)
