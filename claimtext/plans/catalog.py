@@ -460,3 +460,166 @@ def retrieve_from_tuples(spark, sf):
     res = RT.retrieve(RT.fit(c, "doc_id", "clean"), q, c.select("doc_id", "code", "label"), TOP_K,
                       query_id="query_id", text_col="qtext", diagnostic_col="Diagnostic")
     return _flat_codes(res)
+
+
+# ---------------------------------------------------------------------------
+# Code hierarchy
+# ---------------------------------------------------------------------------
+
+from claimtext.operators import hierarchy as HI  # noqa: E402
+from claimtext.sources import html as HT  # noqa: E402
+
+# FIXED VALUES: chapter number and name written on every hierarchy row.
+CHAPTER_NUM = "19"
+CHAPTER_NAME = "Lésions traumatiques, empoisonnements et certaines autres conséquences de causes externes"
+
+# FIXED VALUES: event type -> listing line class for the derived listing view.
+EVENT_LEVELS = {"signup": 1, "error": 1, "purchase": 2, "view": 2, "click": 3}
+
+
+def _listing(spark, sf):
+    """Every event as one line of a per-user listing ordered by event_id.
+
+    Category events become range lines ``E<user>-E<event> <type>``, level-2
+    events 3-character lines ``S<2 digits> <type> <event>``, level-3 events
+    4-character lines ``S<3 digits> <type>``; other types stay unmatched.
+    """
+    e = V.read(spark, sf, "events")
+    eid = F.col("event_id").cast("string")
+    lvl = F.col("event_type")
+    cat = [k for k, v in EVENT_LEVELS.items() if v == 1]
+    sub = [k for k, v in EVENT_LEVELS.items() if v == 2]
+    sub2 = [k for k, v in EVENT_LEVELS.items() if v == 3]
+    line = (F.when(lvl.isin(cat), F.concat(F.lit("E"), F.col("user_id").cast("string"), F.lit("-E"), eid,
+                                           F.lit(" "), lvl))
+            .when(lvl.isin(sub), F.concat(F.lit("S"), F.lpad(F.right(eid, F.lit(2)), 2, "0"), F.lit(" "), lvl,
+                                          F.lit(" "), eid))
+            .when(lvl.isin(sub2), F.concat(F.lit("S"), F.lpad(F.right(eid, F.lit(3)), 3, "0"), F.lit(" "), lvl))
+            .otherwise(F.concat(F.lit("unmatched "), lvl)))
+    return e.select(F.col("user_id").alias("chapter"), F.col("event_id").alias("line_no"), line.alias("line"))
+
+
+def _listing_sql() -> str:
+    def ins(level):
+        return ", ".join(S.q(k) for k, v in EVENT_LEVELS.items() if v == level)
+    return f"""SELECT user_id AS chapter, event_id AS line_no,
+  CASE WHEN event_type IN ({ins(1)}) THEN 'E' || user_id::VARCHAR || '-E' || event_id::VARCHAR || ' ' || event_type
+       WHEN event_type IN ({ins(2)}) THEN 'S' || lpad(right(event_id::VARCHAR, 2), 2, '0') || ' ' || event_type || ' ' || event_id::VARCHAR
+       WHEN event_type IN ({ins(3)}) THEN 'S' || lpad(right(event_id::VARCHAR, 3), 3, '0') || ' ' || event_type
+       ELSE 'unmatched ' || event_type END AS line
+FROM events"""
+
+
+def _levels_sql() -> str:
+    pat = S.q(K.HIERARCHY_LINE_PATTERN)
+    return f"""
+WITH l AS ({_listing_sql()}),
+c AS (SELECT chapter, line_no, regexp_extract(line, {pat}, 1) AS cat, regexp_extract(line, {pat}, 2) AS sub,
+             regexp_extract(line, {pat}, 3) AS subsub FROM l),
+m AS (SELECT * FROM c WHERE cat <> '' OR sub <> '' OR subsub <> ''),
+f AS (SELECT *,
+        last_value(CASE WHEN cat <> '' THEN cat END IGNORE NULLS) OVER w AS cat_f,
+        last_value(CASE WHEN cat = '' AND sub <> '' THEN sub END IGNORE NULLS) OVER w AS sub_f,
+        lead(cat = '' AND sub = '' AND subsub <> '') OVER (PARTITION BY chapter ORDER BY line_no) AS next_is_4
+      FROM m WINDOW w AS (PARTITION BY chapter ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT chapter, line_no, coalesce(cat_f, '') AS Categorie,
+       CASE WHEN sub <> '' THEN sub ELSE coalesce(sub_f, '') END AS Sous_Categorie,
+       CASE WHEN sub <> '' THEN '' ELSE subsub END AS Sous_Sous_Categorie
+FROM f
+WHERE cat = '' AND ((sub = '' AND subsub <> '') OR (sub <> '' AND next_is_4 = false))"""
+
+
+@register("hierarchy_levels", _levels_sql())
+def hierarchy_levels(spark, sf):
+    nodes, _rejects = HI.hierarchy_nodes(_listing(spark, sf), "chapter", "line_no", "line")
+    return nodes
+
+
+@register("hierarchy_levels_chunked", _levels_sql())
+def hierarchy_levels_chunked(spark, sf):
+    """H2 with small scan chunks, so that carries cross chunk boundaries."""
+    nodes, _rejects = HI.hierarchy_nodes(_listing(spark, sf), "chapter", "line_no", "line", chunk=97)
+    return nodes
+
+
+@register("hierarchy_rejects", f"""
+SELECT chapter, line_no, line FROM ({_listing_sql()})
+WHERE regexp_extract(line, {S.q(K.HIERARCHY_LINE_PATTERN)}, 0) = ''""")
+def hierarchy_rejects(spark, sf):
+    _nodes, rejects = HI.hierarchy_nodes(_listing(spark, sf), "chapter", "line_no", "line")
+    return rejects
+
+
+def _part_nodes(spark, sf):
+    """Distinct first words of part names as sub-category nodes."""
+    p = V.read(spark, sf, "part")
+    return (p.select(F.substring_index("p_name", " ", 1).alias("node")).distinct()
+             .select("node", F.lit("parts").alias("Categorie"), F.col("node").alias("Sous_Categorie"),
+                     F.lit("").alias("Sous_Sous_Categorie")))
+
+
+_CODES_SQL = f"""
+WITH n AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS node FROM part),
+c AS (SELECT p_name AS diagnostic_num, p_brand AS diagnostic FROM part)
+SELECT n.node, {S.q(CHAPTER_NUM)} AS Chapitre_num, {S.q(CHAPTER_NAME)} AS Chapitre_nom, 'parts' AS Categorie,
+       '' AS Sous_Categorie, n.node AS Sous_Sous_Categorie, '' AS Sous_Sous_Sous_Categorie,
+       c.diagnostic_num, c.diagnostic
+FROM n JOIN c ON contains(c.diagnostic_num, n.node)"""
+
+
+def _codes(spark, sf):
+    p = V.read(spark, sf, "part").select(F.col("p_name").alias("diagnostic_num"), F.col("p_brand").alias("diagnostic"))
+    return HI.attach_codes(_part_nodes(spark, sf), p, CHAPTER_NUM, CHAPTER_NAME)
+
+
+@register("hierarchy_codes", _CODES_SQL)
+def hierarchy_codes(spark, sf):
+    return _codes(spark, sf)
+
+
+def _doc_sql(alias: str) -> str:
+    cols = [f"coalesce({c}::VARCHAR, 'nan')" for c in HI.DOC_COLUMNS]
+    return f"concat_ws(' ', {', '.join(cols)}) AS {alias}"
+
+
+@register("concat_columns", f"""
+SELECT node, diagnostic_num, doc, {S.joined(S.process_tokens('doc'))} AS processed,
+       array_to_string(list_sort({S.process_tokens(S.joined(S.process_tokens('doc')), distinct=True)}), ' ')
+         AS processed_distinct
+FROM (SELECT node, diagnostic_num, {_doc_sql('doc')} FROM ({_CODES_SQL}))""")
+def concat_columns(spark, sf):
+    """Hierarchy rows as retrieval documents (P13, and P13 then P14).
+
+    The P14 tokens are a set (their order is arbitrary); they are compared sorted.
+    """
+    h = _codes(spark, sf)
+    return h.select("node", "diagnostic_num", HI.hierarchy_document().alias("doc"),
+                    HI.hierarchy_corpus(h).alias("processed"),
+                    F.array_join(F.array_sort(TX.process_tokens(HI.hierarchy_corpus(h), distinct=True)), " ")
+                    .alias("processed_distinct"))
+
+
+# ---------------------------------------------------------------------------
+# Web pages
+# ---------------------------------------------------------------------------
+
+def _html_sql(cls: str) -> str:
+    pat = S.q(HT.container_pattern(cls))
+    txt = f"regexp_replace(regexp_extract(html, {pat}, 1), '<[^>]*>', '', 'g')"
+    for ent, ch in HT.ENTITIES:
+        txt = f"replace({txt}, {S.q(ent)}, {S.q(ch)})"
+    return (f"SELECT page_id, url, CASE WHEN regexp_matches(html, {pat}) THEN {txt} || ' ' END AS container_text "
+            f"FROM pages")
+
+
+@register("html_container_text", _html_sql("ad"))
+def html_container_text(spark, sf):
+    p = V.read(spark, sf, "pages")
+    return p.select("page_id", "url", HT.container_text("html", "ad").alias("container_text"))
+
+
+@register("html_container_text_nested", _html_sql("ad"))
+def html_container_text_nested(spark, sf):
+    """S7 through the element parser (nested containers); same answer on flat ones."""
+    p = V.read(spark, sf, "pages")
+    return p.select("page_id", "url", HT.container_text_nested("html", "ad").alias("container_text"))
