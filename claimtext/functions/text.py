@@ -109,15 +109,15 @@ def joined(tokens) -> Column:
 
 # --- P10, P12 -----------------------------------------------------------------
 
-def stop_words_array() -> Column:
-    return F.array(*[F.lit(w) for w in K.FRENCH_STOP_WORDS])
+def is_stop_word(t: Column) -> Column:
+    """Membership in the French stop list (Catalyst turns the literal IN list
+    into a hash-set lookup)."""
+    return t.isin(*K.FRENCH_STOP_WORDS)
 
 
 def remove_stop_words(tokens) -> Column:
     """Drop French stop words and tokens of length <= 2, keeping order."""
-    stop = stop_words_array()
-    return F.filter(_col(tokens), lambda t: (F.length(t) > K.MIN_TOKEN_LEN_EXCLUSIVE)
-                    & ~F.array_contains(stop, t))
+    return F.filter(_col(tokens), lambda t: (F.length(t) > K.MIN_TOKEN_LEN_EXCLUSIVE) & ~is_stop_word(t))
 
 
 def remove_duplicates(tokens) -> Column:

@@ -422,7 +422,8 @@ def topk_labels(spark, sf):
     """R8 per benchmark item: vocabulary filter (raw tokens) -> P14 -> TF-IDF top k -> 'code - label'."""
     b = V.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     vocab = VO.vocabulary(V.read(spark, sf, "documents"), "text", stem=False)
-    f = VO.vocabulary_filter(b, ["query_id"], "text", vocab, tokenizer="raw", stem=False, out_col="kept")
+    f = VO.vocabulary_filter(b, ["query_id"], "text", vocab, tokenizer="raw", stem=False, out_col="kept",
+                             keep_original=True)
     c = _corpus(spark, sf)
     res = RT.retrieve(RT.fit(c, "doc_id", "clean"), f, c.select("doc_id", "code", "label"), TOP_K,
                       query_id="query_id", text_col="kept", diagnostic_col="text")

@@ -41,8 +41,26 @@ def test_lexicon() -> Lexicon:
     return Lexicon.from_rows(TEST_LEXICON_ROWS, left=TEST_LEFT, right=TEST_RIGHT)
 
 
+# Tables whose rows carry long text: per-row work dominates their queries.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+SCAN_PARTITIONS_CONF = "claimtext.scan.partitions"
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    """Scan one driver table.
+
+    When ``claimtext.scan.partitions`` is set, text tables are hash
+    redistributed on their id into that many partitions right after the
+    scan.  This is for small inputs stored as one parquet row group (one
+    scan task would otherwise do all the text work); leave it unset on a
+    cluster, where a large table is many row groups and the scan itself is
+    parallel.
+    """
+    df = spark.read.parquet(table_path(sf_dir, name))
+    n = spark.conf.get(SCAN_PARTITIONS_CONF, None)
+    if n and name in TEXT_TABLES:
+        df = df.repartition(int(n), TEXT_TABLES[name])
+    return df
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def get_spark(cores: int | str = "8", shuffle_partitions: int = 8, app: str = "claimtext") -> SparkSession:
+def get_spark(cores: int | str = "8", shuffle_partitions: int = 8, app: str = "claimtext",
+              scan_partitions: int | None = None) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -28,6 +29,8 @@ def get_spark(cores: int | str = "8", shuffle_partitions: int = 8, app: str = "c
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if scan_partitions:
+        spark.conf.set("claimtext.scan.partitions", str(scan_partitions))
     ensure_checkpoint_dir(spark)
     return spark
 
