@@ -102,6 +102,16 @@ def raw_tokens(c) -> Column:
     return F.regexp_extract_all(_col(c), F.lit(K.RAW_TOKEN_PATTERN), 0)
 
 
+def has_two_raw_tokens(c) -> Column:
+    """``size(raw_tokens(c)) > 1`` without building the token array.
+
+    Every non-space character belongs to some raw token, so there are at
+    least two tokens exactly when something other than spaces follows the
+    first token (matched atomically, i.e. as the tokeniser takes it).
+    """
+    return _col(c).rlike("^\\s*(?>" + K.RAW_TOKEN_PATTERN + ")\\s*\\S")
+
+
 def joined(tokens) -> Column:
     """Tokens as the reference writes them: every word followed by a space."""
     return F.array_join(F.transform(_col(tokens), lambda w: F.concat(w, F.lit(" "))), "")

@@ -141,7 +141,8 @@ def attach_codes(nodes: DataFrame, codes: DataFrame, chapter_num: str, chapter_n
     # the length set is a one-row subquery; bind it to a column before the array functions use it
     cx = (c.withColumn("_lens", lengths)
            .select("diagnostic_num", "diagnostic",
-                   F.explode(substrings(F.col("diagnostic_num"), F.col("_lens"))).alias("_code")))
+                   F.explode_outer(substrings(F.col("diagnostic_num"), F.col("_lens"))).alias("_code"))
+           .filter(F.col("_code").isNotNull()))
     j = n.join(cx, "_code")
     extra = [x for x in nodes.columns if x not in ("Categorie", "Sous_Categorie", "Sous_Sous_Categorie")]
     return j.select(*extra, F.lit(chapter_num).alias("Chapitre_num"), F.lit(chapter_name).alias("Chapitre_nom"),

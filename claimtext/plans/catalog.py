@@ -285,7 +285,7 @@ def stem_dictionary(spark, sf):
 def _bench_vocab(spark, sf):
     """Distinct tokens of the prepared benchmark lines."""
     b = V.read(spark, sf, "benchmark")
-    return b.select(F.explode(TX.ws_tokens(TX.extraction_line("text"))).alias("word")).distinct()
+    return b.select(F.explode_outer(TX.ws_tokens(TX.extraction_line("text"))).alias("word")).dropna().distinct()
 
 
 _BENCH_VOCAB_SQL = (f"SELECT DISTINCT unnest({S.ws_tokens(S.extraction_line('text'))}) AS word FROM benchmark")

@@ -21,7 +21,7 @@ def read_lines(spark: SparkSession, path: str, ordered: bool = False, keep_blank
     else:
         df = (spark.read.text(path, wholetext=True)
               .select(F.col("_metadata.file_path").alias("file"),
-                      F.posexplode(F.split(F.col("value"), "\n")).alias("line_no", "line"))
+                      F.posexplode_outer(F.split(F.col("value"), "\n")).alias("line_no", "line"))
               .select("file", F.col("line_no").cast("long").alias("line_no"),
                       F.regexp_replace("line", "\r$", "").alias("line")))
     if not keep_blank:
