@@ -103,3 +103,31 @@ def test_anchored_equals_unanchored(spark, words):
 
 def test_side_pattern_shape():
     assert side_pattern("x", ["\\bg\\b"]).startswith("^(?d)(.*")
+
+
+# --- E4: consuming fold against a Python model ------------------------------------
+
+def model_sequential(line, members, lex):
+    out, rest = [], line
+    for m in members:
+        t = model_match(rest, m, lex)
+        out.append(t)
+        rest = rest.replace(t[0], "")
+        if rest == "":
+            out.append(model_match(line, m, lex))
+    return out
+
+
+FOLD_WORDS = ["genou", "main", "mal", "et", "gauche", "droit", "inconnu", "x", "pied", "talon"]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sampled_from(FOLD_WORDS), min_size=1, max_size=7),
+       st.lists(st.sampled_from(["genou", "main", "pied"]), min_size=2, max_size=4))
+def test_sequential_agrees_with_python_model(spark, words, members):
+    from claimtext.operators.extract import match_sequential
+    line = " ".join(words)
+    lex = Lexicon.default()
+    df = spark.createDataFrame([(line, members)], "l string, m array<string>")
+    got = df.select(match_sequential(F.col("l"), F.col("m"), ["genou", "main", "pied"], lex).alias("t")).first()["t"]
+    assert [tuple(x) for x in got] == model_sequential(line, members, lex)

@@ -35,3 +35,17 @@ def test_artifacts_round_trip_and_csv(spark):
     TB.write_csv(tuples, os.path.join(d, "csv"), order_by=["claim_id"])
     back = TB.read_table(spark, os.path.join(d, "csv"), fmt="csv", schema=tuples.schema)
     assert back.select(F.col("phrase")).first()[0] == "a b"
+
+
+def test_html_container(spark):
+    from claimtext.sources import html as HT
+    pages = spark.createDataFrame([
+        (1, '<html><div class="nav">x</div><div class="main ad">Bonjour &amp; <b>salut</b></div></html>'),
+        (2, "<html><p>none</p></html>"),
+        (3, '<div class="ad">a<div class="in">b</div>c</div>'),
+    ], "page_id long, html string")
+    flat = {r["page_id"]: r["t"] for r in pages.select("page_id", HT.container_text("html", "ad").alias("t")).collect()}
+    assert flat == {1: "Bonjour & salut ", 2: None, 3: "ab "}
+    nested = {r["page_id"]: r["t"] for r in
+              pages.select("page_id", HT.container_text_nested("html", "ad").alias("t")).collect()}
+    assert nested == {1: "Bonjour & salut ", 2: None, 3: "abc "}
