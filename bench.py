@@ -35,6 +35,7 @@ HEADLINE = [
     "retrieve_from_tuples",
     "hierarchy_levels",
     "hierarchy_codes",
+    "hierarchy_full",
     "html_container_text",
 ]
 

@@ -595,6 +595,29 @@ def hierarchy_codes(spark, sf):
     return _codes(spark, sf)
 
 
+def _event_codes(spark, sf):
+    """Code table from events: 'S' + the last four digits of the event id, labelled by event type."""
+    e = V.read(spark, sf, "events")
+    code = F.concat(F.lit("S"), F.lpad(F.right(F.col("event_id").cast("string"), F.lit(4)), 4, "0"))
+    return e.groupBy(code.alias("diagnostic_num")).agg(F.min("event_type").alias("diagnostic"))
+
+
+@register("hierarchy_full", f"""
+WITH nodes AS ({_levels_sql()}),
+codes AS (SELECT 'S' || lpad(right(event_id::VARCHAR, 4), 4, '0') AS diagnostic_num, min(event_type) AS diagnostic
+          FROM events GROUP BY 1)
+SELECT n.chapter, n.line_no, {S.q(CHAPTER_NUM)} AS Chapitre_num, {S.q(CHAPTER_NAME)} AS Chapitre_nom,
+       n.Categorie, '' AS Sous_Categorie, n.Sous_Categorie AS Sous_Sous_Categorie,
+       n.Sous_Sous_Categorie AS Sous_Sous_Sous_Categorie, c.diagnostic_num, c.diagnostic
+FROM nodes n JOIN codes c
+  ON contains(c.diagnostic_num, split_part(CASE WHEN n.Sous_Sous_Categorie <> '' THEN n.Sous_Sous_Categorie
+                                                ELSE n.Sous_Categorie END, ' ', 1))""")
+def hierarchy_full(spark, sf):
+    """H1-H5 end to end: ordered listing -> nodes -> every code containing the node code."""
+    nodes, _rejects = HI.hierarchy_nodes(_listing(spark, sf), "chapter", "line_no", "line")
+    return HI.attach_codes(nodes, _event_codes(spark, sf), CHAPTER_NUM, CHAPTER_NAME)
+
+
 def _doc_sql(alias: str) -> str:
     cols = [f"coalesce({c}::VARCHAR, 'nan')" for c in HI.DOC_COLUMNS]
     return f"concat_ws(' ', {', '.join(cols)}) AS {alias}"
