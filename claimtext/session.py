@@ -35,21 +35,28 @@ def get_spark(cores: int | str = "8", shuffle_partitions: int = 8, app: str = "c
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     """Return the cluster's shared checkpoint folder.
 
-    The folder named by ``spark.checkpoint.dir`` is used as is; only when it
-    is unset (local runs, tests) a private scratch folder is created.
+    The folder named by ``spark.checkpoint.dir`` (or already set on the
+    context) is used as is; only when neither is set -- local runs, tests --
+    a private scratch folder is created.  Sessions without a local
+    SparkContext (Spark Connect) keep the server's setting.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect has no local context
+        return d
+    d = d or sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="claimtext-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)
         except Exception:  # noqa: BLE001 - a core conf may be read-only at runtime
             pass
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 
