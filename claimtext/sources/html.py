@@ -12,12 +12,17 @@ can use ``container_text_nested`` (an Arrow-batched parser over the rows).
 from __future__ import annotations
 
 import re
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# the parser UDF is shipped to Python workers by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # FIXED VALUES: named and numeric entities decoded in container text, in
 # decoding order ("&amp;" last so that "&amp;lt;" gives "&lt;").
 ENTITIES = [
