@@ -44,6 +44,7 @@ def main():
     spark.stop()
     stats = {m[0]: {"tasks": 0, "shuffle_write": 0, "shuffle_read": 0, "spill": 0} for m in marks}
     job_group, stage_group = {}, {}
+    stage_info = {}
     for path in sorted(glob.glob(os.path.join(logdir, "**", "events_*"), recursive=True)
                        + glob.glob(os.path.join(logdir, "*.json"))):
         if os.path.isdir(path):
@@ -56,6 +57,10 @@ def main():
                     g = (ev.get("Properties") or {}).get("spark.jobGroup.id")
                     for sid in ev.get("Stage IDs", []):
                         stage_group[sid] = g
+                elif kind == "SparkListenerStageCompleted":
+                    si = ev["Stage Info"]
+                    dur = (si.get("Completion Time", 0) - si.get("Submission Time", 0)) / 1000
+                    stage_info[si["Stage ID"]] = (dur, si.get("Number of Tasks"), si.get("Stage Name", "")[:60])
                 elif kind == "SparkListenerTaskEnd":
                     g = stage_group.get(ev.get("Stage ID"))
                     tm = ev.get("Task Metrics") or {}
@@ -68,6 +73,10 @@ def main():
                         s["spill"] += tm.get("Disk Bytes Spilled", 0)
     for name, sec, n in marks:
         print(json.dumps({"query": name, "sec": round(sec, 3), "rows": n, **stats[name]}))
+        if os.environ.get("STAGES"):
+            top = sorted(((v, k) for k, v in stage_info.items() if stage_group.get(k) == name), reverse=True)[:8]
+            for (dur, ntasks, sname), sid in top:
+                print(f"   stage {sid:4d} {dur:6.2f}s tasks={ntasks} {sname}")
 
 
 if __name__ == "__main__":
