@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from claimtext import constants as K
 from claimtext.functions import text as TX
+from claimtext.functions.patterns import member_and_side
+from claimtext.functions.patterns import members_from_columns as member_list
 from claimtext.operators import extract as EX
 from claimtext.plans import sql as S
 from claimtext.plans import views as V
@@ -102,7 +104,6 @@ def drop_null_and_index(spark, sf):
 
 
 def _flag_member_sql():
-    from claimtext.functions.patterns import member_and_side
     return [(n, *member_and_side(n)) for n in _FLAG_NAMES]
 
 
@@ -116,7 +117,6 @@ _MEMBER_COUNTS_SQL = " UNION ALL ".join(
 @register("members_from_columns", _MEMBER_COUNTS_SQL)
 def members_from_columns(spark, sf):
     """M1/M2: member and side named by every flag column, with its claim count."""
-    from claimtext.functions.patterns import member_and_side
     c = V.claims(spark, sf)
     specs = [(n, *member_and_side(n)) for n in c.columns if n.startswith(K.FLAG_PREFIX)]
     aggs = [F.count(F.when(F.col(n), 1)).alias(n) for n, *_ in specs]
@@ -164,7 +164,7 @@ def route_counts(spark, sf):
 def _extract_sql(routes=(1, 2, 3), keep_unknown: bool = False) -> str:
     lex = V.test_lexicon()
     flag_members = sorted({m for _n, m, _s, o in _flag_member_sql() if not o})
-    all_members = ["dans", "eau", "pour", "sur"]
+    all_members = member_list(_FLAG_NAMES + ["PrecisionLesionAutrePartieCorps"])
     parts = []
     if 1 in routes:
         ph, mb, sd = S.match_by_name("line", "mems[1]", flag_members, lex)
