@@ -115,16 +115,37 @@ def job_retrieve(spark: SparkSession, hierarchy_path: str, queries_path: str, ou
     res.write.mode("overwrite").parquet(out)
 
 
+def job_extract_stream(spark: SparkSession, claims_dir: str, sink_dir: str, checkpoint_location: str,
+                       id_col: str = "claim_id", text_col: str = "DescriptionDiagnostic",
+                       available_now: str = "true"):
+    """Process 3 on arriving claim files: tuples appended to a parquet sink.
+
+    The claims schema is taken from the files already present; the stream's
+    checkpoint makes the sink exactly-once across restarts.
+    """
+    from claimtext.streaming import extract_stream as XS
+    schema = spark.read.parquet(claims_dir).schema
+    claims = XS.read_claims_stream(spark, claims_dir, schema)
+    claims, _cols = load_claims(claims, text_col=text_col, id_col=id_col)
+    q = XS.start_file_sink(XS.extract_stream(claims, id_col, text_col), sink_dir, checkpoint_location,
+                           available_now=str(available_now).lower() == "true")
+    if str(available_now).lower() == "true":
+        q.awaitTermination()
+    return q
+
+
 def main(argv=None) -> None:
     from claimtext.session import ensure_checkpoint_dir
     ap = argparse.ArgumentParser(prog="claimtext.jobs")
-    ap.add_argument("job", choices=["vocabulary", "abbreviations", "pages", "extract", "hierarchy", "retrieve"])
+    ap.add_argument("job", choices=["vocabulary", "abbreviations", "pages", "extract", "extract_stream",
+                                    "hierarchy", "retrieve"])
     ap.add_argument("args", nargs="+")
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName(f"claimtext-{a.job}").getOrCreate()
     ensure_checkpoint_dir(spark)
     fn = {"vocabulary": job_vocabulary, "abbreviations": job_abbreviations, "pages": job_pages,
-          "extract": job_extract, "hierarchy": job_hierarchy, "retrieve": job_retrieve}[a.job]
+          "extract": job_extract, "extract_stream": job_extract_stream, "hierarchy": job_hierarchy,
+          "retrieve": job_retrieve}[a.job]
     fn(spark, *a.args)
 
 

@@ -50,6 +50,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
         return d
     d = d or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
+                               "(a machine-local scratch folder is only created for local runs)")
         d = tempfile.mkdtemp(prefix="claimtext-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)

@@ -131,3 +131,9 @@ def test_sequential_agrees_with_python_model(spark, words, members):
     df = spark.createDataFrame([(line, members)], "l string, m array<string>")
     got = df.select(match_sequential(F.col("l"), F.col("m"), ["genou", "main", "pied"], lex).alias("t")).first()["t"]
     assert [tuple(x) for x in got] == model_sequential(line, members, lex)
+
+
+def test_strip_boundary_tags():
+    from claimtext.functions.patterns import strip_boundary_tags
+    assert strip_boundary_tags("\\bgenou(x)?\\b") == "genou(x)?"
+    assert strip_boundary_tags("talon(s)?") == "talon(s)?"

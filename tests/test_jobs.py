@@ -58,3 +58,15 @@ def test_detection_variables(spark):
     v = jobs.detection_variables(spark, ["IndLesionGenouGauche", "IndLesionGenouDroit", "IndLesionMain"])
     assert [r[0] for r in v["members"].collect()] == ["genou", "main"]
     assert v["sides"].count() == 11
+
+
+def test_extract_stream_job(spark):
+    d = tempfile.mkdtemp(prefix="claimtext-jobs-")
+    claims = spark.createDataFrame(
+        [(1, "Entorse genou gauche", True, False, None), (2, "mal au genou et a la main", True, True, None)],
+        "claim_id long, DescriptionDiagnostic string, IndLesionGenouGauche boolean, IndLesionMain boolean, "
+        "PrecisionLesionAutrePartieCorps string")
+    claims.write.parquet(os.path.join(d, "in"))
+    jobs.job_extract_stream(spark, os.path.join(d, "in"), os.path.join(d, "out"), os.path.join(d, "ck"))
+    got = sorted((r["claim_id"], r["seq"], r["member"]) for r in spark.read.parquet(os.path.join(d, "out")).collect())
+    assert got == [(1, 0, "genou"), (2, 0, "genou"), (2, 1, "main"), (2, 2, "main")]
