@@ -495,19 +495,20 @@ CHAPTER_NAME = "Lésions traumatiques, empoisonnements et certaines autres cons
 EVENT_LEVELS = {"signup": 1, "error": 1, "purchase": 2, "view": 2, "click": 3}
 
 
-def _listing(spark, sf):
+def _listing(spark, sf, levels=None):
     """Every event as one line of a per-user listing ordered by event_id.
 
     Category events become range lines ``E<user>-E<event> <type>``, level-2
     events 3-character lines ``S<2 digits> <type> <event>``, level-3 events
     4-character lines ``S<3 digits> <type>``; other types stay unmatched.
     """
+    levels = levels or EVENT_LEVELS
     e = V.read(spark, sf, "events")
     eid = F.col("event_id").cast("string")
     lvl = F.col("event_type")
-    cat = [k for k, v in EVENT_LEVELS.items() if v == 1]
-    sub = [k for k, v in EVENT_LEVELS.items() if v == 2]
-    sub2 = [k for k, v in EVENT_LEVELS.items() if v == 3]
+    cat = [k for k, v in levels.items() if v == 1]
+    sub = [k for k, v in levels.items() if v == 2]
+    sub2 = [k for k, v in levels.items() if v == 3]
     line = (F.when(lvl.isin(cat), F.concat(F.lit("E"), F.col("user_id").cast("string"), F.lit("-E"), eid,
                                            F.lit(" "), lvl))
             .when(lvl.isin(sub), F.concat(F.lit("S"), F.lpad(F.right(eid, F.lit(2)), 2, "0"), F.lit(" "), lvl,
@@ -517,9 +518,11 @@ def _listing(spark, sf):
     return e.select(F.col("user_id").alias("chapter"), F.col("event_id").alias("line_no"), line.alias("line"))
 
 
-def _listing_sql() -> str:
+def _listing_sql(levels=None) -> str:
+    levels = levels or EVENT_LEVELS
+
     def ins(level):
-        return ", ".join(S.q(k) for k, v in EVENT_LEVELS.items() if v == level)
+        return ", ".join(S.q(k) for k, v in levels.items() if v == level) or "NULL"
     return f"""SELECT user_id AS chapter, event_id AS line_no,
   CASE WHEN event_type IN ({ins(1)}) THEN 'E' || user_id::VARCHAR || '-E' || event_id::VARCHAR || ' ' || event_type
        WHEN event_type IN ({ins(2)}) THEN 'S' || lpad(right(event_id::VARCHAR, 2), 2, '0') || ' ' || event_type || ' ' || event_id::VARCHAR
@@ -528,10 +531,10 @@ def _listing_sql() -> str:
 FROM events"""
 
 
-def _levels_sql() -> str:
+def _levels_sql(levels=None) -> str:
     pat = S.q(K.HIERARCHY_LINE_PATTERN)
     return f"""
-WITH l AS ({_listing_sql()}),
+WITH l AS ({_listing_sql(levels)}),
 c AS (SELECT chapter, line_no, regexp_extract(line, {pat}, 1) AS cat, regexp_extract(line, {pat}, 2) AS sub,
              regexp_extract(line, {pat}, 3) AS subsub FROM l),
 m AS (SELECT * FROM c WHERE cat <> '' OR sub <> '' OR subsub <> ''),
@@ -560,14 +563,27 @@ def hierarchy_levels_chunked(spark, sf):
     return nodes
 
 
+# FIXED VALUES: listing variant in which error events are lines of no class.
+EVENT_LEVELS_WITH_REJECTS = {"signup": 1, "purchase": 2, "view": 2, "click": 3}
+
+
 @register("hierarchy_rejects", f"""
-SELECT chapter, line_no, line FROM ({_listing_sql()})
+SELECT chapter, line_no, line FROM ({_listing_sql(EVENT_LEVELS_WITH_REJECTS)})
 WHERE regexp_extract(line, {S.q(K.HIERARCHY_LINE_PATTERN)}, 0) = ''""")
 def hierarchy_rejects(spark, sf):
-    _nodes, rejects = HI.hierarchy_nodes(_listing(spark, sf), "chapter", "line_no", "line")
+    """Lines of no class are diverted (the reference would fail on them)."""
+    _nodes, rejects = HI.hierarchy_nodes(_listing(spark, sf, EVENT_LEVELS_WITH_REJECTS), "chapter", "line_no", "line")
     return rejects
 
 
+@register("hierarchy_levels_with_rejects", _levels_sql(EVENT_LEVELS_WITH_REJECTS))
+def hierarchy_levels_with_rejects(spark, sf):
+    """H2 when some lines match no class: they are left out of the lookahead."""
+    nodes, _rejects = HI.hierarchy_nodes(_listing(spark, sf, EVENT_LEVELS_WITH_REJECTS), "chapter", "line_no", "line",
+                                         chunk=211)
+    return nodes
+
+
 def _part_nodes(spark, sf):
     """Distinct first words of part names as sub-category nodes."""
     p = V.read(spark, sf, "part")
