@@ -92,7 +92,8 @@ def job_hierarchy(spark: SparkSession, listing_path: str, codes_path: str, out:
     nodes, rejects = HI.hierarchy_nodes(lines, "chapter", "line_no", "line")
     codes = spark.read.parquet(codes_path)
     h = HI.attach_codes(nodes, codes, chapter_num, chapter_name,
-                        num_col=codes.columns[0], label_col=codes.columns[1])
+                        num_col=codes.columns[0], label_col=codes.columns[1],
+                        code_lengths=HI.LISTING_CODE_LENGTHS)
     TB.write_csv(h.orderBy("line_no", "diagnostic_num").select(*K.HIERARCHY_COLUMNS), out)
     rejects.write.mode("overwrite").parquet(f"{out}_rejects")
 

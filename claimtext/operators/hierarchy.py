@@ -21,6 +21,10 @@ from claimtext.functions import text as TX
 
 DEFAULT_CHUNK = 1_000_000
 
+# FIXED VALUES: lengths of node codes produced by the listing classes
+# (3-character and 4-character code lines).
+LISTING_CODE_LENGTHS = (3, 4)
+
 
 # --- H1 ----------------------------------------------------------------------------
 
@@ -127,16 +131,23 @@ def substrings(s: Column, lengths: Column) -> Column:
 
 
 def attach_codes(nodes: DataFrame, codes: DataFrame, chapter_num: str, chapter_name: str,
-                 num_col: str = "diagnostic_num", label_col: str = "diagnostic") -> DataFrame:
+                 num_col: str = "diagnostic_num", label_col: str = "diagnostic",
+                 code_lengths=None) -> DataFrame:
     """H3/H4: every code row whose code contains the node code, in the output layout.
 
     ``nodes`` has Categorie, Sous_Categorie, Sous_Sous_Categorie (+ any order
     columns, kept).  Containment is found by exploding each code into its
     distinct substrings of the node-code lengths and equi-joining them to
     the node codes, which keeps the join a hash join at any size.
+    ``code_lengths``: the possible node-code lengths when known (nodes from
+    ``hierarchy_nodes`` have ``LISTING_CODE_LENGTHS``); otherwise they are
+    read from the nodes with a one-row subquery.
     """
     n = nodes.withColumn("_code", node_code(F.col("Sous_Categorie"), F.col("Sous_Sous_Categorie")))
-    lengths = n.select(F.length("_code").alias("L")).filter(F.col("L") > 0).agg(F.collect_set("L")).scalar()
+    if code_lengths is not None:
+        lengths = F.array(*[F.lit(int(x)) for x in code_lengths])
+    else:
+        lengths = n.select(F.length("_code").alias("L")).filter(F.col("L") > 0).agg(F.collect_set("L")).scalar()
     c = codes.select(F.col(num_col).alias("diagnostic_num"), F.col(label_col).alias("diagnostic"))
     # the length set is a one-row subquery; bind it to a column before the array functions use it
     cx = (c.withColumn("_lens", lengths)
