@@ -22,6 +22,16 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and hand it to ``fn`` (a one-element ``transform``).
+
+    Inside higher-order functions Spark does not eliminate common
+    subexpressions, so a value used several times (a regex match, a sorted
+    array) is bound this way instead of being repeated.
+    """
+    return F.transform(F.array(value), fn).getItem(0)
+
+
 # --- P8: ASCII folding ----------------------------------------------------
 
 @lru_cache(maxsize=1)
