@@ -25,6 +25,7 @@ def get_spark(cores: int | str = "8", shuffle_partitions: int = 8, app: str = "c
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("CLAIMTEXT_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
