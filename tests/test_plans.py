@@ -27,3 +27,28 @@ def test_topk_uses_group_limit(spark):
 def test_scan_prunes_columns(spark):
     p = plan(catalog.QUERIES["hierarchy_levels"](spark, SF01))
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string>" in p
+
+
+def test_topk_padding_has_no_union_or_cross_join(spark):
+    df = catalog.QUERIES["topk_similar"](spark, SF01)
+    df.collect()
+    p = plan(df)
+    assert "Union" not in p and "CartesianProduct" not in p and "NestedLoopJoin" not in p
+
+
+def test_hierarchy_end_to_end_has_no_nested_loop(spark):
+    p = plan(catalog.QUERIES["hierarchy_full"](spark, SF01))
+    assert "NestedLoopJoin" not in p and "CartesianProduct" not in p
+
+
+def test_vocabulary_filter_scans_documents_once(spark):
+    p = plan(catalog.QUERIES["vocabulary_filter"](spark, SF01))
+    assert p.count("documents.parquet") == 1
+
+
+def test_no_inferred_generator_filter(spark):
+    # a plain explode lets Catalyst infer "size(array) > 0" below the projection,
+    # which evaluates the whole array expression (every regex) twice
+    for name in ("extract_tuples", "vocabulary_nostem", "tfidf_weights"):
+        lines = plan(catalog.QUERIES[name](spark, SF01)).split("\n")
+        assert not any("Filter" in ln and "size(" in ln and "> 0" in ln for ln in lines), name
