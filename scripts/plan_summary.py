@@ -20,8 +20,8 @@ KEEP = re.compile(r"^([ :|+\-]*)(?:\*\(\d+\) )?([A-Z]\w+)(.*)$")
 def skeleton(plan: str) -> list[str]:
     out = []
     for line in plan.split("\n"):
-        if line.strip().startswith("=="):
-            out.append(line.strip())
+        if "Plan ==" in line:
+            out.append(line.rstrip())
             continue
         m = KEEP.match(line)
         if not m:
