@@ -137,3 +137,51 @@ def test_strip_boundary_tags():
     from claimtext.functions.patterns import strip_boundary_tags
     assert strip_boundary_tags("\\bgenou(x)?\\b") == "genou(x)?"
     assert strip_boundary_tags("talon(s)?") == "talon(s)?"
+
+
+# --- E9 end to end against a Python model of the whole job --------------------------
+
+def model_extract(rows, flag_cols, lex):
+    import regex
+    from claimtext.functions.patterns import member_and_side
+    from claimtext.functions.text import fold_python
+    raw_tok = regex.compile(K.RAW_TOKEN_PATTERN)
+    members_all = members_from_columns(flag_cols + ["PrecisionLesionAutrePartieCorps"])
+    out = []
+    for cid, desc, *flags, prec in rows:
+        if desc is None or len(raw_tok.findall(desc)) <= 1:
+            continue
+        line = fold_python(desc).lower()
+        for ch in K.PUNCTUATION:
+            line = line.replace(ch, " ")
+        hits = [member_and_side(c) for c, f in zip(flag_cols, flags) if f]
+        if len(hits) == 1:
+            m, _side, other = hits[0]
+            res = [(line, "Autre partie: " + (prec if prec is not None else "nan"), "inconnu")] if other \
+                else [model_match(line, m, lex)]
+        elif len(hits) > 1:
+            res = model_sequential(line, [m for m, _s, o in hits if not o], lex)
+        else:
+            res = [model_match(line, m, lex) for m in members_all]
+        out += [(cid, i, *t) for i, t in enumerate(res) if t[0] != "inconnu"]
+    return sorted(out)
+
+
+CLAIM_WORDS = ["Entorse", "genou", "gauche", "droite", "main", "Épaule", "épaule", "d", "pied,", "et", "à", "la",
+               "talon.", "x", "douleur", "Genoux"]
+FLAGS = ["IndLesionGenouGauche", "IndLesionGenouDroite", "IndLesionMain", "IndLesionEpaule",
+         "IndLesionAutrePartieCorps"]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.sampled_from(CLAIM_WORDS), min_size=0, max_size=8),
+                          st.lists(st.booleans(), min_size=len(FLAGS), max_size=len(FLAGS)),
+                          st.sampled_from([None, "dos", "cou"])), min_size=1, max_size=6))
+def test_extract_job_agrees_with_python_model(spark, claims):
+    rows = [(i, " ".join(w) if w or i % 2 else None, *f, p) for i, (w, f, p) in enumerate(claims)]
+    schema = ("claim_id long, description string, " + ", ".join(f"{c} boolean" for c in FLAGS)
+              + ", PrecisionLesionAutrePartieCorps string")
+    df = spark.createDataFrame(rows, schema)
+    lex = Lexicon.default()
+    got = sorted(tuple(r) for r in extract_tuples(df, lexicon=lex).collect())
+    assert got == model_extract(rows, FLAGS, lex)
