@@ -21,7 +21,9 @@ def get_spark(cores: int | str = "8", shuffle_partitions: int = 8, app: str = "c
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Local runs size shuffle partitions to the cores; coalescing them by
+        # bytes would idle cores in the CPU-bound text stages after shuffles.
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")

@@ -30,6 +30,7 @@ def main():
              .config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", f"file://{logdir}")
              .config("spark.eventLog.compress", "false")
              .config("spark.sql.shuffle.partitions", "16").config("spark.sql.adaptive.enabled", "true")
+             .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
              .config("spark.driver.memory", "16g").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     spark.conf.set("claimtext.scan.partitions", str(2 * int(cpus)))
@@ -74,7 +75,7 @@ def main():
     for name, sec, n in marks:
         print(json.dumps({"query": name, "sec": round(sec, 3), "rows": n, **stats[name]}))
         if os.environ.get("STAGES"):
-            top = sorted(((v, k) for k, v in stage_info.items() if stage_group.get(k) == name), reverse=True)[:8]
+            top = sorted(((v, k) for k, v in stage_info.items() if stage_group.get(k) == name), reverse=True)[:30]
             for (dur, ntasks, sname), sid in top:
                 print(f"   stage {sid:4d} {dur:6.2f}s tasks={ntasks} {sname}")
 
