@@ -70,3 +70,14 @@ def test_extract_stream_job(spark):
     jobs.job_extract_stream(spark, os.path.join(d, "in"), os.path.join(d, "out"), os.path.join(d, "ck"))
     got = sorted((r["claim_id"], r["seq"], r["member"]) for r in spark.read.parquet(os.path.join(d, "out")).collect())
     assert got == [(1, 0, "genou"), (2, 0, "genou"), (2, 1, "main"), (2, 2, "main")]
+
+
+def test_pages_job_appends(spark):
+    d = tempfile.mkdtemp(prefix="claimtext-jobs-")
+    pages = spark.createDataFrame([(1, "u", '<div class="screenContainer">Os &amp; muscle</div>'),
+                                   (2, "v", "<p>none</p>")], "page_id long, url string, html string")
+    pages.write.parquet(os.path.join(d, "pages"))
+    out = os.path.join(d, "web_dataset")
+    jobs.job_pages(spark, os.path.join(d, "pages"), out)
+    jobs.job_pages(spark, os.path.join(d, "pages"), out)
+    assert sorted(r[0] for r in spark.read.text(out).collect()) == ["Os & muscle ", "Os & muscle "]

@@ -23,3 +23,18 @@ def test_stream_equals_batch(spark):
     got = sorted(map(tuple, spark.read.parquet(sink).collect()))
     assert got == sorted(map(tuple, extract_tuples(batch).collect()))
     assert len(got) == 4
+
+
+def test_clean_stream_equals_batch(spark):
+    from claimtext.functions import text as TX
+    d = tempfile.mkdtemp(prefix="claimtext-stream-")
+    src, sink, ck = (os.path.join(d, x) for x in ("src", "sink", "ck"))
+    batch = spark.createDataFrame([(1, "Été 2020: l'épaule de la main droite"), (2, "Genou, genou!")],
+                                  "doc_id long, text string")
+    batch.write.parquet(src)
+    stream = spark.readStream.schema(batch.schema).parquet(src)
+    q = XS.start_file_sink(XS.clean_stream(stream, "doc_id", "text"), sink, ck)
+    q.awaitTermination(120)
+    got = sorted(map(tuple, spark.read.parquet(sink).collect()))
+    want = sorted(map(tuple, batch.select("doc_id", TX.process_string("text").alias("processed")).collect()))
+    assert got == want == [(1, "ete epaule main droite "), (2, "genou genou ")]
