@@ -33,6 +33,7 @@ HEADLINE = [
     "topk_similar",
     "topk_labels",
     "retrieve_from_tuples",
+    "retrieve_repeated_queries",
     "hierarchy_levels",
     "hierarchy_codes",
     "hierarchy_full",

@@ -331,17 +331,22 @@ def _model(spark, sf):
     return RT.fit(_corpus(spark, sf), "doc_id", "clean")
 
 
-_TFIDF_CTE = f"""
-corpus AS (SELECT doc_id, {S.joined(S.process_tokens('text'))} AS clean, source FROM documents),
+def _tfidf_cte(corpus_sql: str) -> str:
+    """Fit CTEs over ``corpus(doc_id, clean, label)``."""
+    return f"""
+corpus AS ({corpus_sql}),
 post AS (SELECT doc_id, term, count(*) AS tf
          FROM (SELECT doc_id, unnest(regexp_extract_all(lower(clean), {S.q(K.TERM_PATTERN)})) AS term FROM corpus)
          GROUP BY doc_id, term),
-ndocs AS (SELECT count(*) AS n FROM documents),
+ndocs AS (SELECT count(*) AS n FROM corpus),
 idf AS (SELECT term, ln((1 + any_value(ndocs.n)) / (1 + count(*))) + 1 AS idf FROM post, ndocs GROUP BY term),
 w0 AS (SELECT doc_id, term, tf * idf AS w0 FROM post JOIN idf USING (term)),
 w AS (SELECT doc_id, term, w0 / sqrt(sum(w0 * w0) OVER (PARTITION BY doc_id)) AS weight FROM w0)"""
 
 
+_TFIDF_CTE = _tfidf_cte(f"SELECT doc_id, {S.joined(S.process_tokens('text'))} AS clean, source AS label FROM documents")
+
+
 def _query_weights_cte(qtable: str) -> str:
     return f"""
 qpost AS (SELECT query_id, term, count(*) AS tf
@@ -351,7 +356,7 @@ qw0 AS (SELECT query_id, term, tf * idf AS w0 FROM qpost JOIN idf USING (term)),
 qw AS (SELECT query_id, term, w0 / sqrt(sum(w0 * w0) OVER (PARTITION BY query_id)) AS weight FROM qw0),
 scores AS (SELECT query_id, doc_id, sum(qw.weight * w.weight) AS score FROM qw JOIN w USING (term) GROUP BY 1, 2),
 allpairs AS (SELECT qs.query_id, d.doc_id, coalesce(s.score, 0.0) AS score
-             FROM (SELECT DISTINCT query_id FROM {qtable}) qs CROSS JOIN (SELECT doc_id FROM documents) d
+             FROM (SELECT DISTINCT query_id FROM {qtable}) qs CROSS JOIN (SELECT doc_id FROM corpus) d
              LEFT JOIN scores s ON s.query_id = qs.query_id AND s.doc_id = d.doc_id),
 ranked AS (SELECT query_id, doc_id, score,
                   row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id DESC) AS rank
@@ -389,9 +394,9 @@ def topk_similar(spark, sf):
     return RT.top_k(m, RT.score(m, qw), q.select("query_id"), TOP_K)
 
 
-def _labels_sql(qtable_cte: str, diag: str) -> str:
-    return f"""WITH {_TFIDF_CTE}, {qtable_cte}, {_query_weights_cte('bq')},
-lab AS (SELECT t.query_id, string_agg(c.doc_id::VARCHAR || ' - ' || c.source, ' | ' ORDER BY t.rank) AS codes
+def _labels_sql(qtable_cte: str, diag: str, tfidf_cte: str = _TFIDF_CTE) -> str:
+    return f"""WITH {tfidf_cte}, {qtable_cte}, {_query_weights_cte('bq')},
+lab AS (SELECT t.query_id, string_agg(c.doc_id::VARCHAR || ' - ' || c.label, ' | ' ORDER BY t.rank) AS codes
         FROM topk t JOIN corpus c USING (doc_id) GROUP BY t.query_id)
 SELECT bq.query_id, {diag} AS Diagnostic, coalesce(lab.codes, '') AS CIM10s
 FROM bq LEFT JOIN lab USING (query_id)"""
@@ -681,3 +686,29 @@ def html_container_text_nested(spark, sf):
     """S7 through the element parser (nested containers); same answer on flat ones."""
     p = V.read(spark, sf, "pages")
     return p.select("page_id", "url", HT.container_text_nested("html", "ad").alias("container_text"))
+
+
+# --- repeated queries: the shape of real claim diagnoses ------------------------------
+
+def _part_doc_sql() -> str:
+    return "concat_ws(' ', p_name, p_type, p_brand)"
+
+
+_PART_TFIDF = _tfidf_cte(f"SELECT p_partkey AS doc_id, {S.joined(S.process_tokens(_part_doc_sql()))} AS clean, "
+                         f"p_brand AS label FROM part")
+
+
+@register("retrieve_repeated_queries", _labels_sql(
+    f"bq AS (SELECT p_partkey AS query_id, p_name AS raw, {S.joined(S.process_tokens('p_name', distinct=True))} "
+    f"AS qclean FROM part)", "bq.raw", _PART_TFIDF))
+def retrieve_repeated_queries(spark, sf):
+    """R5-R8 where queries repeat (part names: few distinct values), against a
+    corpus of part rows as hierarchy-like documents (name, type, brand)."""
+    p = V.read(spark, sf, "part")
+    corpus = p.select(F.col("p_partkey").alias("doc_id"),
+                      TX.process_string(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("clean"),
+                      F.col("p_partkey").alias("code"), F.col("p_brand").alias("label"))
+    q = p.select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("text"))
+    res = RT.retrieve(RT.fit(corpus, "doc_id", "clean"), q, corpus.select("doc_id", "code", "label"), TOP_K,
+                      text_col="text", diagnostic_col="text")
+    return _flat_codes(res)
