@@ -44,11 +44,13 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    n_cpus = os.cpu_count() or 8 if cpus.strip() == "*" else int(cpus)
     repeat = int(os.environ.get("BENCH_REPEAT", "2"))
     names = sys.argv[1:] or HEADLINE
     # the driver's tables are single-row-group files: spread text tables over the cores
-    spark = get_spark(cores=cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", "16")),
-                      scan_partitions=int(os.environ.get("BENCH_SCAN_PARTITIONS", str(2 * int(cpus)))))
+    spark = get_spark(cores=cpus,
+                      shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(2 * n_cpus))),
+                      scan_partitions=int(os.environ.get("BENCH_SCAN_PARTITIONS", str(2 * n_cpus))))
     # warm-up: JIT, Python workers, parquet footers
     catalog.QUERIES["fold_text"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
