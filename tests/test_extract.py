@@ -185,3 +185,13 @@ def test_extract_job_agrees_with_python_model(spark, claims):
     lex = Lexicon.default()
     got = sorted(tuple(r) for r in extract_tuples(df, lexicon=lex).collect())
     assert got == model_extract(rows, FLAGS, lex)
+
+
+def test_numeric_flags_equal_boolean_flags(spark):
+    rows_b = [(1, "entorse genou gauche", True, False), (2, "mal genou et main", True, True), (3, "x main", False, True)]
+    rows_n = [(i, d, 1 if a else 0, 1.0 if b else None) for i, d, a, b in rows_b]
+    b = spark.createDataFrame(rows_b, "claim_id long, description string, IndLesionGenou boolean, IndLesionMain boolean")
+    n = spark.createDataFrame(rows_n, "claim_id long, description string, IndLesionGenou int, IndLesionMain double")
+    got_b = sorted(map(tuple, extract_tuples(b).collect()))
+    got_n = sorted(map(tuple, extract_tuples(n).collect()))
+    assert got_b == got_n and len(got_b) == 4
