@@ -194,4 +194,4 @@ def test_numeric_flags_equal_boolean_flags(spark):
     n = spark.createDataFrame(rows_n, "claim_id long, description string, IndLesionGenou int, IndLesionMain double")
     got_b = sorted(map(tuple, extract_tuples(b).collect()))
     got_n = sorted(map(tuple, extract_tuples(n).collect()))
-    assert got_b == got_n and len(got_b) == 4
+    assert got_b == got_n and len(got_b) == 5
