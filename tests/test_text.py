@@ -65,3 +65,35 @@ def test_distinct_is_idempotent(spark, words):
     once = one(spark, TX.process_string_distinct(F.col("s")), s)
     twice = one(spark, TX.process_string_distinct(F.col("s")), once)
     assert once == twice
+
+
+# --- P13 / P14 against a plain-Python model of the reference's sequence -----------
+
+def model_process(s, distinct=False):
+    stop = set(K.FRENCH_STOP_WORDS)
+
+    def stop_pass(d):
+        return "".join(w + " " for w in d.split() if w not in stop and len(w) > 2)
+    d = TX.fold_python(s)
+    d = d.translate(str.maketrans("", "", "0123456789")).replace("  ", " ")
+    d = d.lower()
+    for ch in K.PUNCTUATION:
+        d = d.replace(ch, " ")
+    d = stop_pass(d)
+    d = d.replace("'", " ").replace("’", " ")
+    if distinct:
+        d = "".join(w + " " for w in dict.fromkeys(d.split()))
+    return stop_pass(d)
+
+
+ALPHABET = list("abcdeéèàçôœßÉ") + [" ", "  ", "'", "’", "‘", "1", "2", "\xa0", "®", "\n", "\t", ".", ",", "-", "l'", "été"]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sampled_from(ALPHABET), max_size=40))
+def test_process_string_agrees_with_model(spark, parts):
+    s = "".join(parts)
+    df = spark.createDataFrame([(s,)], "s string")
+    got = df.select(TX.process_string(F.col("s")).alias("a"), TX.process_string_distinct(F.col("s")).alias("b")).first()
+    assert got["a"] == model_process(s)
+    assert got["b"] == model_process(s, distinct=True)
