@@ -70,3 +70,42 @@ def test_document_concat_doubles_fifth_and_writes_nan(spark):
                                "Chapitre_num string, Chapitre_nom string, Categorie string, Sous_Categorie string, "
                                "Sous_Sous_Categorie string, Sous_Sous_Sous_Categorie string, diagnostic_num string")
     assert df.select(HI.hierarchy_document().alias("d")).first()["d"] == "19 chap cat  sub sub nan S001"
+
+
+# --- H2 against a Python model of the line loop, random listings, tiny chunks -------
+
+import re as _re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from claimtext import constants as K
+
+
+def model_nodes(lines):
+    rx = _re.compile(K.HIERARCHY_LINE_PATTERN)
+    classified = [(i, rx.findall(s)) for i, s in enumerate(lines)]
+    classified = [(i, r[0]) for i, r in classified if r]          # rejects leave the sequence
+    out, cat, sub = [], "", ""
+    for j, (i, (g1, g2, g3)) in enumerate(classified):
+        if g1:
+            cat = g1
+        elif g2:
+            sub = g2
+            if j + 1 < len(classified) and classified[j + 1][1][2] == "":
+                out.append((i, cat, sub, ""))
+        elif g3:
+            out.append((i, cat, sub, g3))
+    return out
+
+
+LINE_KINDS = ["S00-S09 cat a", "S10-S19 cat b", "S01 sub x", "S02 sub y", "S010 leaf p", "S021 leaf q", "junk"]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.sampled_from(LINE_KINDS), min_size=1, max_size=25), st.sampled_from([1, 2, 5, 1000]))
+def test_nodes_agree_with_line_loop(spark, lines, chunk):
+    df = spark.createDataFrame([("c", i, s) for i, s in enumerate(lines)], "chapter string, line_no long, line string")
+    nodes, _ = HI.hierarchy_nodes(df, chunk=chunk)
+    got = sorted((r["line_no"], r["Categorie"], r["Sous_Categorie"], r["Sous_Sous_Categorie"]) for r in nodes.collect())
+    assert got == sorted(model_nodes(lines))

@@ -29,3 +29,21 @@ def test_abbreviation_vocabulary(spark):
     df = spark.createDataFrame([("Fx. du Genou, fx du genou",)], "text string")
     words = sorted(r[0] for r in VO.abbreviation_vocabulary(df, "text").collect())
     assert words == [",", ".", "du", "fx", "genou"]   # a trailing dot is its own token
+
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from claimtext.functions.snowball_fr import stem as _stem
+
+WORDS = ["Fractures", "genoux", "genou", "de", "la", "Main", "mains", "douleur", "douleurs", "épaule", "x"]
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.sampled_from(WORDS), max_size=8), st.sets(st.sampled_from(["fractur", "genoux", "main", "de", "épaul"])))
+def test_stemmed_filter_agrees_with_python(spark, words, vocab):
+    phrase = " ".join(words)
+    df = spark.createDataFrame([(1, phrase)], "id long, phrase string")
+    v = spark.createDataFrame([(w,) for w in sorted(vocab)] or [("zzz",)], "word string")
+    got = VO.vocabulary_filter(df, "id", "phrase", v, stem=True).first()["phrase"]
+    assert got == "".join(w + " " for w in phrase.split() if _stem(w.lower()) in vocab)
