@@ -195,3 +195,13 @@ def test_numeric_flags_equal_boolean_flags(spark):
     got_b = sorted(map(tuple, extract_tuples(b).collect()))
     got_n = sorted(map(tuple, extract_tuples(n).collect()))
     assert got_b == got_n and len(got_b) == 5
+
+
+def test_user_lexicon_from_table(spark):
+    lexdf = spark.createDataFrame([("genou", ["\\bgenou(x)?\\b", "\\brotule(s)?\\b"], "genou"),
+                                   ("Main", ["\\bpaume\\b"], "main")], "member string, patterns array<string>, label string")
+    lex = Lexicon.from_dataframe(lexdf)
+    df = spark.createDataFrame([(1, "fracture rotule gauche", True, False), (2, "coupure paume droite", False, True)],
+                               "claim_id long, description string, IndLesionGenou boolean, IndLesionMain boolean")
+    got = sorted(tuple(r) for r in extract_tuples(df, lexicon=lex).collect())
+    assert got == [(1, 0, "fracture rotule gauche", "genou", "gauche"), (2, 0, "coupure paume droite", "main", "droit")]

@@ -47,3 +47,11 @@ def test_stemmed_filter_agrees_with_python(spark, words, vocab):
     v = spark.createDataFrame([(w,) for w in sorted(vocab)] or [("zzz",)], "word string")
     got = VO.vocabulary_filter(df, "id", "phrase", v, stem=True).first()["phrase"]
     assert got == "".join(w + " " for w in phrase.split() if _stem(w.lower()) in vocab)
+
+
+def test_fold_vocab_matches_folded_phrases(spark):
+    df = spark.createDataFrame([(1, "douleur epaule")], "id long, phrase string")     # phrases are folded
+    vocab = spark.createDataFrame([("épaule",)], "word string")                      # vocabulary is not
+    plain = VO.vocabulary_filter(df, "id", "phrase", vocab, stem=False).first()["phrase"]
+    folded = VO.vocabulary_filter(df, "id", "phrase", vocab, stem=False, fold_vocab=True).first()["phrase"]
+    assert (plain, folded) == ("", "epaule ")
