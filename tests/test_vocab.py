@@ -55,3 +55,15 @@ def test_fold_vocab_matches_folded_phrases(spark):
     plain = VO.vocabulary_filter(df, "id", "phrase", vocab, stem=False).first()["phrase"]
     folded = VO.vocabulary_filter(df, "id", "phrase", vocab, stem=False, fold_vocab=True).first()["phrase"]
     assert (plain, folded) == ("", "epaule ")
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.sampled_from(WORDS), max_size=10), st.sets(st.sampled_from(WORDS)))
+def test_filter_output_is_subsequence(spark, words, vocab):
+    phrase = " ".join(words)
+    df = spark.createDataFrame([(1, phrase)], "id long, phrase string")
+    v = spark.createDataFrame([(w.lower(),) for w in sorted(vocab)] or [("zzz",)], "word string")
+    out = VO.vocabulary_filter(df, "id", "phrase", v, stem=False).first()["phrase"].split()
+    it = iter(phrase.split())
+    assert all(any(w == x for x in it) for w in out)          # subsequence, order kept
+    assert all(w.lower() in {x.lower() for x in vocab} for w in out)
