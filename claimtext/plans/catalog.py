@@ -97,7 +97,8 @@ _FLAG_NAMES = [n for n, _m in V.CLAIM_FLAGS]
           f"SELECT claim_id, length(description)::BIGINT AS n_chars, {', '.join(_FLAG_NAMES)} "
           f"FROM ({V.claims_sql()}) WHERE description IS NOT NULL")
 def drop_null_and_index(spark, sf):
-    c = V.claims(spark, sf).withColumn("Unnamed: 0", F.monotonically_increasing_id())
+    # the spreadsheet's index column, dropped as P1 does
+    c = V.claims(spark, sf).withColumn("Unnamed: 0", F.col("claim_id"))
     c = c.drop("Unnamed: 0").na.drop(subset=["description"])
     flags = c.columns[2:-1]          # the columns after the description, minus the free text
     return c.select("claim_id", F.length("description").cast("long").alias("n_chars"), *flags)
