@@ -25,6 +25,11 @@ from claimtext.sources import tables as TB
 from claimtext.sources import text_files as TF
 
 
+def _flag(v) -> bool:
+    """Boolean option given as a bool or as command-line text."""
+    return v if isinstance(v, bool) else str(v).strip().lower() in ("1", "true", "yes")
+
+
 # --- claims (P1-P3, M6) -----------------------------------------------------------
 
 def load_claims(df: DataFrame, text_col: str = "DescriptionDiagnostic", index_col: str | None = "Unnamed: 0",
@@ -57,7 +62,7 @@ def save_detection_variables(spark: SparkSession, flag_columns: list[str], root:
 def job_vocabulary(spark: SparkSession, text_path: str, out: str, stem: bool = True) -> None:
     """Process 0: stem vocabulary of a text corpus."""
     lines = TF.read_lines(spark, text_path)
-    VO.vocabulary(lines, "line", stem=stem).write.mode("overwrite").parquet(out)
+    VO.vocabulary(lines, "line", stem=_flag(stem)).write.mode("overwrite").parquet(out)
 
 
 def job_abbreviations(spark: SparkSession, text_path: str, out: str) -> None:
@@ -81,7 +86,8 @@ def job_extract(spark: SparkSession, claims_path: str, vocab_path: str, out_root
     tuples.write.mode("overwrite").parquet(f"{out_root}/tuples")
     saved = spark.read.parquet(f"{out_root}/tuples")
     vocab = spark.read.parquet(vocab_path)
-    cleaned = VO.vocabulary_filter(saved, [id_col, "seq"], "phrase", vocab, vocab_col=vocab.columns[0], stem=stem)
+    cleaned = VO.vocabulary_filter(saved, [id_col, "seq"], "phrase", vocab, vocab_col=vocab.columns[0],
+                                   stem=_flag(stem))
     cleaned.write.mode("overwrite").parquet(f"{out_root}/cleaned_tuples")
 
 
@@ -103,6 +109,7 @@ def job_retrieve(spark: SparkSession, hierarchy_path: str, queries_path: str, ou
     """Top-k codes for query texts against the hierarchy corpus."""
     from claimtext.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
+    k, stem, remove_duplicate = int(k), _flag(stem), _flag(remove_duplicate)
     h = spark.read.parquet(hierarchy_path)
     st = stem_tokens_ignore_stop if stem else None
     corpus = h.select(F.monotonically_increasing_id().alias("doc_id"), "diagnostic_num", "diagnostic",

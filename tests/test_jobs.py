@@ -81,3 +81,12 @@ def test_pages_job_appends(spark):
     jobs.job_pages(spark, os.path.join(d, "pages"), out)
     jobs.job_pages(spark, os.path.join(d, "pages"), out)
     assert sorted(r[0] for r in spark.read.text(out).collect()) == ["Os & muscle ", "Os & muscle "]
+
+
+def test_cli_arguments_are_typed(spark):
+    d = tempfile.mkdtemp(prefix="claimtext-jobs-")
+    txt = os.path.join(d, "sci.txt")
+    with open(txt, "w", encoding="utf-8") as f:
+        f.write("Fractures du genou\n")
+    jobs.main(["vocabulary", txt, os.path.join(d, "v_nostem"), "false"])
+    assert sorted(r[0] for r in spark.read.parquet(os.path.join(d, "v_nostem")).collect()) == ["fractures", "genou"]
