@@ -80,8 +80,17 @@ def job_pages(spark: SparkSession, pages_path: str, out: str, cls: str = "screen
 def job_extract(spark: SparkSession, claims_path: str, vocab_path: str, out_root: str,
                 id_col: str = "claim_id", text_col: str = "DescriptionDiagnostic", stem: bool = True,
                 lexicon: Lexicon | None = None) -> None:
-    """Process 3: tuples (E9) saved, then cleaned against the vocabulary (V1) and saved."""
-    claims, _cols = load_claims(spark.read.parquet(claims_path), text_col=text_col, id_col=id_col)
+    """Process 3: tuples (E9) saved, then cleaned against the vocabulary (V1) and saved.
+
+    Without an id column the spreadsheet index (``Unnamed: 0``) identifies a
+    claim; failing that an id is generated -- it is fixed once the tuples are
+    written, and the cleaning step reads them back.
+    """
+    raw = spark.read.parquet(claims_path)
+    if id_col not in raw.columns:
+        raw = (raw.withColumnRenamed("Unnamed: 0", id_col) if "Unnamed: 0" in raw.columns
+               else raw.withColumn(id_col, F.monotonically_increasing_id()))
+    claims, _cols = load_claims(raw, text_col=text_col, id_col=id_col)
     tuples = EX.extract_tuples(claims, id_col, text_col, lexicon=lexicon)
     tuples.write.mode("overwrite").parquet(f"{out_root}/tuples")
     saved = spark.read.parquet(f"{out_root}/tuples")

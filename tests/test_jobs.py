@@ -90,3 +90,15 @@ def test_cli_arguments_are_typed(spark):
         f.write("Fractures du genou\n")
     jobs.main(["vocabulary", txt, os.path.join(d, "v_nostem"), "false"])
     assert sorted(r[0] for r in spark.read.parquet(os.path.join(d, "v_nostem")).collect()) == ["fractures", "genou"]
+
+
+def test_extract_uses_spreadsheet_index_as_id(spark):
+    d = tempfile.mkdtemp(prefix="claimtext-jobs-")
+    claims = spark.createDataFrame([(7, "Entorse genou gauche", True), (8, None, True)],
+                                   "`Unnamed: 0` long, DescriptionDiagnostic string, IndLesionGenouGauche boolean")
+    claims.write.parquet(os.path.join(d, "claims"))
+    spark.createDataFrame([("genou",)], "word string").write.parquet(os.path.join(d, "vocab"))
+    jobs.job_extract(spark, os.path.join(d, "claims"), os.path.join(d, "vocab"), os.path.join(d, "out"), stem="false")
+    rows = spark.read.parquet(os.path.join(d, "out", "cleaned_tuples")).collect()
+    assert [(r["claim_id"], r["seq"], r["phrase"], r["member"], r["side"]) for r in rows] == \
+        [(7, 0, "genou ", "genou", "gauche")]
