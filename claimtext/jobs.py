@@ -113,13 +113,24 @@ def job_hierarchy(spark: SparkSession, listing_path: str, codes_path: str, out:
     rejects.write.mode("overwrite").parquet(f"{out}_rejects")
 
 
+def read_hierarchy(spark: SparkSession, path: str) -> DataFrame:
+    """The hierarchy table as written by ``job_hierarchy`` (CSV with a header)
+    or as parquet; CSV is read with an explicit all-string schema."""
+    from pyspark.sql import types as T
+    try:
+        return spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 - not parquet: the CSV layout
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in K.HIERARCHY_COLUMNS])
+        return TB.read_table(spark, path, fmt="csv", schema=schema)
+
+
 def job_retrieve(spark: SparkSession, hierarchy_path: str, queries_path: str, out: str, k: int = 5,
                  text_col: str = "text", stem: bool = True, remove_duplicate: bool = False) -> None:
     """Top-k codes for query texts against the hierarchy corpus."""
     from claimtext.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     k, stem, remove_duplicate = int(k), _flag(stem), _flag(remove_duplicate)
-    h = spark.read.parquet(hierarchy_path)
+    h = read_hierarchy(spark, hierarchy_path)
     st = stem_tokens_ignore_stop if stem else None
     corpus = h.select(F.monotonically_increasing_id().alias("doc_id"), "diagnostic_num", "diagnostic",
                       HI.hierarchy_corpus(h, remove_duplicate=remove_duplicate, stem=st).alias("doc"))

@@ -22,10 +22,9 @@ def test_hierarchy_then_retrieve(spark):
     rows = sorted((r["Sous_Sous_Categorie"], r["diagnostic_num"]) for r in h.collect())
     assert rows == [("S00 Lesion superficielle de la tete", "S000"), ("S01 Plaie ouverte de la tete", "S0100"),
                     ("S02 Fracture du crane", "S020"), ("S02 Fracture du crane", "S1000")]
-    h.write.parquet(os.path.join(d, "hierarchy_pq"))
     q = spark.createDataFrame([(1, "fracture du crane"), (2, "gorge")], "query_id long, text string")
     q.write.parquet(os.path.join(d, "q"))
-    jobs.job_retrieve(spark, os.path.join(d, "hierarchy_pq"), os.path.join(d, "q"), os.path.join(d, "res"), k=2)
+    jobs.job_retrieve(spark, out, os.path.join(d, "q"), os.path.join(d, "res"), k=2)   # the CSV as written
     res = {r["query_id"]: r for r in spark.read.parquet(os.path.join(d, "res")).collect()}
     assert res[1]["CIM10s"][0] == "S020 - fracture de la voute du crane"
     assert res[2]["CIM10s"][0] == "S1000 - contusion de la gorge"
