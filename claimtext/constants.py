@@ -183,3 +183,10 @@ HIERARCHY_COLUMNS = [
 
 # Code label separator in retrieval results.
 LABEL_SEPARATOR = " - "
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: web pages
+# ---------------------------------------------------------------------------
+
+# Class of the div whose text is kept from each dictionary page.
+PAGE_CONTAINER_CLASS = "screenContainer"

@@ -71,7 +71,7 @@ def job_abbreviations(spark: SparkSession, text_path: str, out: str) -> None:
     VO.abbreviation_vocabulary(lines, "line").write.mode("overwrite").parquet(out)
 
 
-def job_pages(spark: SparkSession, pages_path: str, out: str, cls: str = "screenContainer") -> None:
+def job_pages(spark: SparkSession, pages_path: str, out: str, cls: str = K.PAGE_CONTAINER_CLASS) -> None:
     """Process 2 (data part): container text of stored pages, appended as text."""
     pages = spark.read.parquet(pages_path)
     TF.append_text(pages.select(HT.container_text("html", cls).alias("t")).na.drop(), out)
