@@ -52,3 +52,10 @@ def test_no_inferred_generator_filter(spark):
     for name in ("extract_tuples", "vocabulary_nostem", "tfidf_weights"):
         lines = plan(catalog.QUERIES[name](spark, SF01)).split("\n")
         assert not any("Filter" in ln and "size(" in ln and "> 0" in ln for ln in lines), name
+
+
+def test_no_query_uses_a_cross_or_nested_loop_join(spark):
+    from tests.conftest import SF001
+    for name, fn in catalog.QUERIES.items():
+        p = plan(fn(spark, SF001))
+        assert "CartesianProduct" not in p and "NestedLoopJoin" not in p, name
