@@ -59,3 +59,9 @@ def test_no_query_uses_a_cross_or_nested_loop_join(spark):
     for name, fn in catalog.QUERIES.items():
         p = plan(fn(spark, SF001))
         assert "CartesianProduct" not in p and "NestedLoopJoin" not in p, name
+
+
+def test_every_query_reads_the_tables(spark):
+    from tests.conftest import SF001
+    for name, fn in catalog.QUERIES.items():
+        assert "FileScan parquet" in plan(fn(spark, SF001)), name
