@@ -49,3 +49,14 @@ def test_html_container(spark):
     nested = {r["page_id"]: r["t"] for r in
               pages.select("page_id", HT.container_text_nested("html", "ad").alias("t")).collect()}
     assert nested == {1: "Bonjour & salut ", 2: None, 3: "abc "}
+
+
+def test_unordered_lines_and_csv_needs_schema(spark):
+    import pytest
+    d = tempfile.mkdtemp(prefix="claimtext-io-")
+    p = os.path.join(d, "corpus.txt")
+    with open(p, "w", encoding="utf-8") as f:
+        f.write("genou\n\n  \nmain\n")
+    assert sorted(r["line"] for r in TF.read_lines(spark, p).collect()) == ["genou", "main"]
+    with pytest.raises(ValueError):
+        TB.read_table(spark, p, fmt="csv")
