@@ -1,0 +1,104 @@
+"""Plain Python versions of the operators, for small fixtures only."""
+
+import hashlib
+import itertools
+import re
+
+import xxhash
+
+SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ALNUM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+UPPER = {c: c + 32 for c in range(65, 91)}
+
+
+def sha(s):
+    return hashlib.sha256(s.encode()).hexdigest()
+
+
+def fingerprint(text, shingle=4):
+    w = SPACE_WORD.findall((text or "").translate(UPPER))
+    grams = [" ".join(w[i:i + shingle]) for i in range(max(len(w) - shingle + 1, 1))] if w else []
+    hs = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def component_ids(rows, max_bits=4, shingle=4):
+    """rows: (id, text) → list of (id, fingerprint hex, component id)."""
+    fps = [fingerprint(t, shingle) for _, t in rows]
+    uniq = sorted(set(fps))
+    up = {f: f for f in uniq}
+
+    def find(f):
+        while up[f] != f:
+            up[f] = up[up[f]]
+            f = up[f]
+        return f
+
+    for a, b in itertools.combinations(uniq, 2):
+        if (a ^ b).bit_count() <= max_bits:
+            up[find(a)] = find(b)
+    least = {}
+    for (i, _), f in zip(rows, fps):
+        if i is not None:
+            r = find(f)
+            least[r] = min(i, least.get(r, i))
+    return [(i, f"{f:016x}", least.get(find(f))) for (i, _), f in zip(rows, fps)]
+
+
+def item_windows(text, k=10):
+    w = ALNUM_WORD.findall((text or "").translate(UPPER))
+    return {tuple(w[i:i + k]) for i in range(max(len(w) - k + 1, 1))} if w else set()
+
+
+def contamination(rows, items, k=10):
+    """rows: (id, text), items: (id, text) → (id, n_words, n_hit, item ids)."""
+    owners = {}
+    for i, t in items:
+        for w in item_windows(t, k):
+            owners.setdefault(w, set()).add(i)
+    sizes = sorted({len(w) for w in owners})
+    out = []
+    for i, t in rows:
+        w = ALNUM_WORD.findall((t or "").translate(UPPER))
+        hit, found = set(), set()
+        for n in sizes:
+            for p in range(len(w) - n + 1):
+                who = owners.get(tuple(w[p:p + n]))
+                if who:
+                    hit.update(range(p, p + n))
+                    found |= who
+        ids = ",".join(sorted(str(x) for x in found if x is not None))
+        out.append((i, len(w), len(hit), len([x for x in found if x is not None]), sha(ids), bool(hit)))
+    return out
+
+
+def substring_dedup(rows, k=20):
+    """rows: (id, text) → (id, n_words, n_removed, sha of the kept words); ids not null."""
+    first = {}
+    words = [SPACE_WORD.findall(t or "") for _, t in rows]
+    for (i, _), w in zip(rows, words):
+        for p in range(len(w) - k + 1):
+            key = tuple(w[p:p + k])
+            first[key] = min(first.get(key, (i, p)), (i, p))
+    out = []
+    for (i, _), w in zip(rows, words):
+        gone = set()
+        for p in range(len(w) - k + 1):
+            if first[tuple(w[p:p + k])] < (i, p):
+                gone.update(range(p, p + k))
+        out.append((i, len(w), len(gone), sha(" ".join(x for p, x in enumerate(w) if p not in gone))))
+    return out
+
+
+def quality(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)."""
+    text = text or ""
+    w = SPACE_WORD.findall(text)
+    lines = [x for x in text.split("\n") if SPACE_WORD.search(x)]
+    grams = [tuple(w[i:i + 3]) for i in range(len(w) - 2)]
+    n = {}
+    for g in grams:
+        n[g] = n.get(g, 0) + 1
+    cover = {i + k for i, g in enumerate(grams) if n[g] > 1 for k in range(3)}
+    return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(cover),
+            len(w) < 50 or 100 * len(cover) > 50 * len(w))
