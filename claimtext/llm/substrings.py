@@ -14,11 +14,13 @@ Skew: where a chunk of rows has the same packed string more than once, only
 the earliest travels; the others are known to be repeats at once.  So a passage
 that a third of all documents share reaches its bucket once for each chunk of
 about a megabyte, and no bucket holds more than the distinct contexts.
-A task works through its buckets in blocks of about ``BLOCK_BYTES``.
+A task works through its buckets one after the other; there are
+``BUCKETS_PER_PARTITION`` for each shuffle partition.  The strings of a task
+for one bucket are compressed together on their way.
 
 Defined results: a null, empty or blank text has no words and stays as an
 empty kept text; texts shorter than a window keep all words.  Null ids sort
-last.  Rows with equal id and text are one document seen twice: they lose the
+last (as 2**63 - 1).  Rows with equal id and text are one document seen twice: they lose the
 same words, and neither repeats the other.  Rows with equal id and other
 texts compare by start alone.  An empty table gives no rows.  Result columns
 replace input columns of the same name; all other columns pass through.
@@ -39,18 +41,16 @@ from claimtext.llm.words import (BY_SPACE, Words, chunks, covered, mix, per_row,
 
 WINDOW = 20
 MINIMISER = 3
-BUCKETS = 1 << 16
-BLOCK_BYTES = 8 << 20
+BUCKETS_PER_PARTITION = 32
+CHUNK = 2 << 20  # bytes of text that are worked on at once
+PARCELS_BYTES = 24 << 20  # packed bytes that a task gathers before it sends them
+BLOCK_BYTES = 1 << 20  # packed bytes of whole buckets that are sorted at once, or one bucket
 LAST = np.int64((1 << 63) - 1)  # where a null id sorts
 
-_PACKED = "bucket int, id long, tag long, start int, n int, packed binary"
+_PACKED = "bucket int, n int, size int, packed binary"
 _REPEATS = "id long, tag long, start int, n int"
 
 
-def _ids(column) -> tuple[np.ndarray, np.ndarray]:
-    return np.asarray(column.fill_null(int(LAST))), np.asarray(column.is_null())
-
-
 def _super_kmers(words: Words, window: int, minimiser: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first word, number of windows, minimiser, hash of the words) of each run."""
     n = len(words) - window + 1
@@ -71,12 +71,52 @@ def _super_kmers(words: Words, window: int, minimiser: int) -> tuple[np.ndarray,
     return first, number, least[first], mix(spans_hash(hashes, first, stop + window - 1) + number.astype(np.uint64))
 
 
-def _pack(batches: Iterator[pa.RecordBatch], window: int, minimiser: int) -> Iterator[pa.RecordBatch]:
+class _Parcels:
+    """Packed strings by bucket, compressed together when there is enough of them."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.size, self.parts = buckets, 0, {}
+
+    def add(self, bucket: np.ndarray, columns: list[np.ndarray], packed: list[bytes]) -> None:
+        order = np.argsort(bucket, kind="stable")
+        edge = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1], True])
+        for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            own = order[x:y]
+            text = b"".join([packed[k] for k in own.tolist()])
+            self.parts.setdefault(int(bucket[own[0]]), []).append(([c[own] for c in columns], text))
+            self.size += len(text)
+
+    def sent(self) -> pa.RecordBatch:
+        rows = []
+        for bucket, parts in self.parts.items():
+            columns = [np.concatenate(c) for c in zip(*[p[0] for p in parts])]
+            raw = b"".join([*[c.tobytes() for c in columns], *[p[1] for p in parts]])
+            rows.append((bucket, len(columns[0]), len(raw), pa.compress(raw, "zstd", asbytes=True)))
+        self.size, self.parts = 0, {}
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(
+            zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "n", "size", "packed"])
+
+
+# of a parcel's strings: the id, the tag, first word, number of windows, bytes (0: known repeat)
+_KINDS = (np.int64, np.int64, np.int32, np.int32, np.int32)
+
+
+def _opened(n: int, size: int, packed: bytes) -> tuple[list[np.ndarray], bytes]:
+    raw = pa.decompress(packed, size, "zstd", asbytes=True)
+    columns, at = [], 0
+    for kind in _KINDS:
+        columns.append(np.frombuffer(raw, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return columns, raw[at:]
+
+
+def _pack(batches: Iterator[pa.RecordBatch], window: int, minimiser: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    parcels = _Parcels(buckets)
     for batch in batches:
-        ids, null = _ids(batch.column(0))
-        tags = np.asarray(batch.column(1))
+        ids = np.asarray(batch.column(0).fill_null(int(LAST)))
+        tags = np.asarray(batch.column(1).fill_null(0))
         data, offsets = text_bytes(batch.column(2))
-        for i, j in chunks(offsets, 4 << 20):
+        for i, j in chunks(offsets, CHUNK):
             words = Words(data, offsets[i:j + 1], BY_SPACE)
             first, number, least, whole = _super_kmers(words, window, minimiser)
             if not len(first):
@@ -85,29 +125,32 @@ def _pack(batches: Iterator[pa.RecordBatch], window: int, minimiser: int) -> Ite
             start = first - words.first[words.row[first]]
             text = words.text.tobytes()
             packed = [text[a:b] for a, b in zip(words.start[first].tolist(),
-                                                words.end[first + number + window - 2].tolist())]
+                                                (words.end[first + number + window - 2] + 1).tolist())]
             # of equal strings the earliest travels
             order = np.lexsort((start, ids[row], whole))
             head = np.r_[True, whole[order][1:] != whole[order][:-1]]
             leader = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
             for k, lead in zip(order[~head].tolist(), leader[~head].tolist()):
                 if packed[k] == packed[lead] and (ids[row[k]], start[k]) > (ids[row[lead]], start[lead]):
-                    packed[k] = None
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((least >> np.uint64(32)).astype(np.int64) % BUCKETS, pa.int32()),
-                 pa.array(ids[row], mask=null[row]), pa.array(tags[row]), pa.array(start, pa.int32()),
-                 pa.array(number, pa.int32()), pa.array(packed, pa.binary())],
-                names=["bucket", "id", "tag", "start", "n", "packed"])
+                    packed[k] = b""
+            size = np.fromiter(map(len, packed), np.int32, len(packed))
+            parcels.add(((least >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64),
+                        [ids[row], tags[row], start.astype(np.int32), number.astype(np.int32), size], packed)
+            if parcels.size >= PARCELS_BYTES:
+                yield parcels.sent()
+    if parcels.parts:
+        yield parcels.sent()
 
 
-def _repeats(batch: pa.RecordBatch | pa.Table, window: int) -> pa.RecordBatch:
+def _repeats(parcels: list[tuple[list[np.ndarray], bytes]], window: int) -> pa.RecordBatch:
     """Repeated windows of whole buckets, as runs (id, tag, start, n)."""
-    known = batch.filter(batch["packed"].is_null())
-    new = batch.filter(batch["packed"].is_valid())
-    ids, null = _ids(new["id"])
-    tags, start = np.asarray(new["tag"]), np.asarray(new["start"]).astype(np.int64)
-    words = Words(*text_bytes(new["packed"]), BY_SPACE)
-    number = np.asarray(new["n"]).astype(np.int64)
+    ids, tags, start, number, size = (np.concatenate(c) for c in zip(*[p[0] for p in parcels]))
+    start, number = start.astype(np.int64), number.astype(np.int64)
+    known = size == 0
+    old = ids[known], tags[known], start[known], number[known]
+    ids, tags, start, number, size = (c[~known] for c in (ids, tags, start, number, size))
+    data = np.frombuffer(b"".join([p[1] for p in parcels]), np.uint8)
+    words = Words(data, np.r_[0, np.cumsum(size, dtype=np.int64)], BY_SPACE)
     # every row has its n windows; begin is a window's first word
     row = np.repeat(np.arange(len(number)), number)
     within = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
@@ -115,65 +158,53 @@ def _repeats(batch: pa.RecordBatch | pa.Table, window: int) -> pa.RecordBatch:
     hashes = mix(spans_hash(words.hashes(), begin, begin + window))
     order = np.argsort(hashes)
     same = hashes[order][1:] == hashes[order][:-1]
-    shared = order[np.r_[False, same] | np.r_[same, False]]
+    shared = order[np.r_[False, same] | np.r_[same, False]] if len(order) else order
     at = start[row[shared]] + within[shared]
     shared = shared[np.lexsort((at, ids[row[shared]], hashes[shared]))]
     at = start[row[shared]] + within[shared]
     head = np.r_[True, hashes[shared][1:] != hashes[shared][:-1]][:len(shared)]
     lead = np.maximum.accumulate(np.where(head, np.arange(len(shared)), 0))
     text = words.text.tobytes()
-    a, b = words.start[begin[shared]], words.end[begin[shared] + window - 1]
-    low, high, leader = a.tolist(), b.tolist(), lead.tolist()
-    equal = np.fromiter((text[low[k]:high[k]] == text[low[p]:high[p]] for k, p in enumerate(leader)), bool, len(shared))
+    low, high = words.start[begin[shared]].tolist(), words.end[begin[shared] + window - 1].tolist()
+    equal = np.fromiter((text[low[k]:high[k]] == text[low[p]:high[p]] for k, p in enumerate(lead.tolist())), bool,
+                        len(shared))
     own = ids[row[shared]]
     later = (own > own[lead]) | ((own == own[lead]) & (at > at[lead]))
     repeat = equal & later
     for h in set(lead[~equal].tolist()):  # other windows with the same hash: the exact way
-        group = np.flatnonzero(lead == h)
         earliest: dict[bytes, int] = {}
-        for k in group.tolist():
+        for k in np.flatnonzero(lead == h).tolist():
             e = earliest.setdefault(text[low[k]:high[k]], k)
             repeat[k] = (own[k], at[k]) > (own[e], at[e])
-    flag = np.zeros(len(row) + 1, bool)
+    flag = np.zeros(len(row), bool)
     flag[shared[repeat]] = True
-    flag = flag[:-1]
-    joined = np.r_[False, flag[:-1] & (row[1:] == row[:-1])][:len(row)]
-    begins = np.flatnonzero(flag & ~joined)
-    follows = np.r_[(flag & joined)[1:], False][:len(row)]
-    ends = np.flatnonzero(flag & ~follows) + 1
+    goes_on = np.r_[False, row[1:] == row[:-1]][:len(row)]
+    begins = np.flatnonzero(flag & ~(goes_on & np.r_[False, flag[:-1]][:len(row)]))
+    ends = np.flatnonzero(flag & ~np.r_[(flag & goes_on)[1:], False][:len(row)]) + 1
     r = row[begins]
-    found = [pa.array(ids[r], mask=null[r]), pa.array(tags[r]),
-             pa.array(start[r] + within[begins], pa.int32()), pa.array(ends - begins, pa.int32())]
-    old = [known[c].combine_chunks() if isinstance(known[c], pa.ChunkedArray) else known[c]
-           for c in ("id", "tag", "start", "n")]
-    return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(old, found)],
-                                      names=["id", "tag", "start", "n"])
+    new = ids[r], tags[r], start[r] + within[begins], ends - begins
+    id, tag, first, n = (np.concatenate(c) for c in zip(old, new))
+    return pa.RecordBatch.from_arrays([pa.array(id, mask=id == LAST), pa.array(tag), pa.array(first.astype(np.int32)),
+                                       pa.array(n.astype(np.int32))], names=["id", "tag", "start", "n"])
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
     """docs (id, tag, text) → runs of repeated windows (id, tag, start word, n windows)."""
-    packed = docs.select("id", "tag", "text").mapInArrow(lambda b: _pack(b, window, minimiser), _PACKED)
+    buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = docs.select("id", "tag", "text").mapInArrow(lambda b: _pack(b, window, minimiser, buckets), _PACKED)
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, last = [], 0, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            size += batch.get_total_buffer_size()
-            if size >= BLOCK_BYTES:
-                table = pa.Table.from_batches(held)
-                bucket = np.asarray(table["bucket"])
-                cut = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
-                if cut:
-                    yield _repeats(table.slice(0, cut), window)
-                    held = table.slice(cut).combine_chunks().to_batches()
-                    size = sum(x.get_total_buffer_size() for x in held)
-                else:
-                    size = 0  # one bucket so far: look again after as much more
+            for bucket, n, raw, packed in zip(*[c.to_pylist() for c in batch.columns]):
+                if size >= BLOCK_BYTES and bucket != last:
+                    yield _repeats(held, window)
+                    held, size = [], 0
+                held.append(_opened(n, raw, packed))
+                size, last = size + raw, bucket
         if held:
-            yield _repeats(pa.Table.from_batches(held), window)
+            yield _repeats(held, window)
 
     return dealt.mapInArrow(run, _REPEATS)
 
