@@ -23,6 +23,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def released(make, spark) -> DataFrame:
+    """make(), whose shuffle files Spark removes when they have been read.
+
+    make ends in a checkpoint, so nothing reads those files again; without
+    this they stay until the driver happens to collect its garbage.
+    """
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return make()
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that df does not have (case-insensitively), made from names."""
     taken = {c.lower() for c in df.columns}

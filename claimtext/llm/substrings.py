@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimtext.llm.common import checkpointed, fresh, quoted, without
+from claimtext.llm.common import checkpointed, fresh, quoted, released, without
 from claimtext.llm.words import (BY_SPACE, Words, chunks, covered, mix, per_row, sliding_min, spans_hash,
                                  text_bytes)
 
@@ -43,7 +43,7 @@ WINDOW = 20
 MINIMISER = 3
 BUCKETS_PER_PARTITION = 32
 CHUNK = 2 << 20  # bytes of text that are worked on at once
-PARCELS_BYTES = 24 << 20  # packed bytes that a task gathers before it sends them
+PARCELS_BYTES = 32 << 20  # packed bytes that a task gathers before it sends them
 BLOCK_BYTES = 1 << 20  # packed bytes of whole buckets that are sorted at once, or one bucket
 LAST = np.int64((1 << 63) - 1)  # where a null id sorts
 
@@ -87,11 +87,11 @@ class _Parcels:
             self.size += len(text)
 
     def sent(self) -> pa.RecordBatch:
-        rows = []
+        rows, codec = [], pa.Codec("zstd", compression_level=6)
         for bucket, parts in self.parts.items():
             columns = [np.concatenate(c) for c in zip(*[p[0] for p in parts])]
             raw = b"".join([*[c.tobytes() for c in columns], *[p[1] for p in parts]])
-            rows.append((bucket, len(columns[0]), len(raw), pa.compress(raw, "zstd", asbytes=True)))
+            rows.append((bucket, len(columns[0]), len(raw), codec.compress(raw, asbytes=True)))
         self.size, self.parts = 0, {}
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(
             zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "n", "size", "packed"])
@@ -212,25 +212,28 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, minimiser: int = MIN
 def dedup(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, id: str = "doc_id",
           text: str = "text") -> DataFrame:
     """docs with kept_text (kept words joined by one space), n_words and n_removed."""
-    docs = without(docs, "kept_text", "n_words", "n_removed")
+    docs = without(docs, *[c for c in ("kept_text", "n_words", "n_removed") if c != text])
     key, tag, spans, own, r_id, r_tag = fresh(docs, "id", "tag", "spans", "text", "r_id", "r_tag")
-    keyed = docs.select("*", quoted(id).cast("long").alias(key), quoted(text).cast("string").alias(own))
-    keyed = keyed.select("*", F.xxhash64(own).alias(tag))
-    runs = checkpointed(repeated_windows(keyed.select(F.col(key).alias("id"), F.col(tag).alias("tag"),
-                                                      F.col(own).alias("text")), window, minimiser))
+    plain = docs.schema[text].dataType.simpleString() == "string"  # else a string copy goes along
+    texts = quoted(text) if plain else quoted(text).cast("string")
+    keyed = docs.select("*", quoted(id).cast("long").alias(key), F.xxhash64(texts).alias(tag))
+    slim = keyed.select(F.col(key).alias("id"), F.col(tag).alias("tag"), texts.alias("text"))
+    runs = released(lambda: checkpointed(repeated_windows(slim, window, minimiser)), docs.sparkSession)
     of_doc = runs.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "n")).alias(spans))
     joined = keyed.join(of_doc.withColumnsRenamed({"id": r_id, "tag": r_tag}),
                         F.col(key).eqNullSafe(F.col(r_id)) & (F.col(tag) == F.col(r_tag)), "left")
-    given = joined.select(*[quoted(c) for c in docs.columns], own, spans)
+    given = joined.select(*[quoted(c) for c in docs.columns], spans, *([] if plain else [texts.alias(own)]))
     schema = (docs.withColumn("kept_text", F.lit("")).withColumn("n_words", F.lit(0).cast("long"))
               .withColumn("n_removed", F.lit(0).cast("long")).schema)
-    return given.mapInArrow(lambda b: _cut(b, window, schema.names), schema)
+    at = docs.columns.index(text) if plain else len(docs.columns) + 1
+    return given.mapInArrow(lambda b: _cut(b, window, at, schema.names), schema)
 
 
-def _cut(batches: Iterator[pa.RecordBatch], window: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], window: int, text: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = text_bytes(batch.column(batch.num_columns - 2))
-        spans = batch.column(batch.num_columns - 1)
+        data, offsets = text_bytes(batch.column(text))
+        given = len(names) - 3
+        spans = batch.column(given)
         per, runs = np.diff(_offsets(spans)), spans.flatten()
         start, n = (np.asarray(runs.field(k)).astype(np.int64) for k in (0, 1))
         row = np.repeat(np.arange(len(spans)), per)
@@ -245,7 +248,7 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int, names: list[str]) -> It
             n_removed.append(words.count - kept)
             texts.append(_joined(words, keep, kept))
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-2], pa.concat_arrays(texts) if texts else pa.array([], pa.string()),
+            [*batch.columns[:given], pa.concat_arrays(texts) if texts else pa.array([], pa.string()),
              pa.array(np.concatenate([*n_words, np.zeros(0, np.int64)])),
              pa.array(np.concatenate([*n_removed, np.zeros(0, np.int64)]))], names=names)
 
