@@ -34,7 +34,9 @@ from claimtext.llm.common import SPACE, fresh, quoted, without
 from claimtext.llm.words import chunks, text_bytes
 
 _CACHE = "digest binary, n_tokens long, tokenizer string"
-MEMO_PIECES = 200_000  # bound of a worker's memo of piece counts
+MEMO_PIECES = 100_000  # pieces that a worker's memo of counts has at most, before a chunk
+ENCODED = 8192  # pieces that are encoded at once
+CHUNK = 2 << 20  # bytes of text that are split at once
 
 
 class Encoder:
@@ -60,7 +62,9 @@ class Encoder:
         if len(memo) > MEMO_PIECES:
             memo.clear()
         new = list({p for row in pieces for p in row if p not in memo})
-        memo.update(zip(new, self._encode([p.decode() for p in new])))
+        for k in range(0, len(new), ENCODED):
+            part = new[k:k + ENCODED]
+            memo.update(zip(part, self._encode([p.decode() for p in part])))
         return [sum(map(memo.__getitem__, row)) for row in pieces]
 
 
@@ -110,7 +114,7 @@ def add_missing(docs: DataFrame, definition: str, cache: str, text: str = "text"
             texts = batch.column(1).fill_null("")
             _, offsets = text_bytes(texts)
             counts: list[int] = []
-            for i, j in chunks(offsets, 4 << 20):
+            for i, j in chunks(offsets, CHUNK):
                 counts.extend(encoder.counts(texts.slice(i, j - i).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
 
