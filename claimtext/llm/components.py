@@ -1,10 +1,11 @@
 """Connected components of an edge table, by contraction.
 
 Each round every node takes the smallest of itself and its neighbours as its
-parent, parents are followed twice, and the edges are rewritten to their
-parents; edges inside one node go.  The rounds end when no edge is left,
-after about log(n) of them.  Every round's tables are checkpointed, so a lost
-executor costs one round.
+parent, parents are followed by doubling to the ends of their chains, and the
+edges are rewritten to these; edges inside one node go.  At least half of the
+nodes merge in a round, so log(n) rounds of log(n) doublings are enough, on
+long paths too.  All tables are checkpointed, so a lost executor costs one
+step.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")).select(F.col("a").alias("v"), "p")
-        parent = checkpointed(_follow(_follow(parent)))
+        parent = _stars(checkpointed(parent))
         labels = checkpointed(parent.withColumnRenamed("p", "root") if labels is None else _through(labels, parent))
         x, y = (parent.select(F.col("v").alias(c), F.col("p").alias(f"p{c}")) for c in "ab")
         edges = checkpointed(edges.join(x, "a").join(y, "b").where("pa <> pb")
@@ -35,9 +36,13 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _follow(parent: DataFrame) -> DataFrame:
-    up = parent.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-    return parent.join(up, "p").select("v", F.col("pp").alias("p"))
+def _stars(parent: DataFrame) -> DataFrame:
+    while True:
+        up = parent.select(F.col("v").alias("p"), F.col("p").alias("pp"))
+        step = checkpointed(parent.join(up, "p").select("v", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")))
+        parent = step.drop("moved")
+        if step.where("moved").isEmpty():
+            return parent
 
 
 def _through(labels: DataFrame, parent: DataFrame) -> DataFrame:
