@@ -57,6 +57,10 @@ FOLD_EXCEPTIONS = {
 # other non-space symbol is its own token).  Same text in Java and RE2.
 RAW_TOKEN_PATTERN = r"[\p{L}\p{N}]+(?:['’.-][\p{L}\p{N}]+)*|[^\s\p{L}\p{N}]"
 
+# The same tokens in Java's engine: possessive, so that a token of many joined
+# pieces is matched in a loop and not by recursion on the thread's stack.
+RAW_TOKEN_PATTERN_JAVA = r"[\p{L}\p{N}]++(?:['’.-][\p{L}\p{N}]++)*+|[^\s\p{L}\p{N}]"
+
 # TF-IDF term pattern: maximal runs of at least two word characters.
 TERM_PATTERN = r"[\p{L}\p{N}_]{2,}"
 

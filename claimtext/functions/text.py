@@ -109,7 +109,7 @@ def ws_tokens(c) -> Column:
 
 def raw_tokens(c) -> Column:
     """Tokens of raw text: words (with inner ' ’ . -) and single symbols."""
-    return F.regexp_extract_all(_col(c), F.lit(K.RAW_TOKEN_PATTERN), 0)
+    return F.regexp_extract_all(_col(c), F.lit(K.RAW_TOKEN_PATTERN_JAVA), 0)
 
 
 def has_two_raw_tokens(c) -> Column:
@@ -119,7 +119,7 @@ def has_two_raw_tokens(c) -> Column:
     least two tokens exactly when something other than spaces follows the
     first token (matched atomically, i.e. as the tokeniser takes it).
     """
-    return _col(c).rlike("^\\s*(?>" + K.RAW_TOKEN_PATTERN + ")\\s*\\S")
+    return _col(c).rlike("^\\s*(?>" + K.RAW_TOKEN_PATTERN_JAVA + ")\\s*\\S")
 
 
 def joined(tokens) -> Column:

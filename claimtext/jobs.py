@@ -125,20 +125,29 @@ def read_hierarchy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def job_retrieve(spark: SparkSession, hierarchy_path: str, queries_path: str, out: str, k: int = 5,
-                 text_col: str = "text", stem: bool = True, remove_duplicate: bool = False) -> None:
-    """Top-k codes for query texts against the hierarchy corpus."""
+                 text_col: str = "text", stem: bool = True, remove_duplicate: bool = False,
+                 vocab_path: str | None = None) -> None:
+    """Top-k codes for query texts against the hierarchy corpus (P19, R1-R8); with a vocabulary its words alone count (V1-V3)."""
     from claimtext.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     k, stem, remove_duplicate = int(k), _flag(stem), _flag(remove_duplicate)
     h = read_hierarchy(spark, hierarchy_path)
     st = stem_tokens_ignore_stop if stem else None
-    corpus = h.select(F.monotonically_increasing_id().alias("doc_id"), "diagnostic_num", "diagnostic",
+    h = h.select(*[F.nullif(F.col(c).cast("string"), F.lit("")).alias(c) for c in h.columns])  # as the CSV reads them
+    # the key orders ties by content, the same for any number of files and either format
+    key = F.struct("diagnostic_num", *[c for c in h.columns if c != "diagnostic_num"])
+    corpus = h.select(key.alias("doc_id"), "diagnostic_num", "diagnostic",
                       HI.hierarchy_corpus(h, remove_duplicate=remove_duplicate, stem=st).alias("doc"))
-    corpus = corpus.checkpoint(eager=True)      # ids must stay stable across the plan's uses
+    corpus = corpus.dropDuplicates(["doc_id"]).checkpoint(eager=True)
     model = RT.fit(corpus, "doc_id", "doc")
     q = spark.read.parquet(queries_path)
+    if vocab_path:
+        vocab = spark.read.parquet(vocab_path)
+        q = VO.vocabulary_filter(q, q.columns[0], text_col, vocab, vocab_col=vocab.columns[0], tokenizer="raw",
+                                 stem=stem, out_col="_kept", keep_original=True)
     res = RT.retrieve(model, q, corpus.select("doc_id", "diagnostic_num", "diagnostic"), k,
-                      query_id=q.columns[0], text_col=text_col, code_col="diagnostic_num",
+                      query_id=q.columns[0], text_col="_kept" if vocab_path else text_col,
+                      diagnostic_col=text_col, code_col="diagnostic_num",
                       label_col="diagnostic", stem=st)
     res.write.mode("overwrite").parquet(out)
 
@@ -174,7 +183,9 @@ def main(argv=None) -> None:
     fn = {"vocabulary": job_vocabulary, "abbreviations": job_abbreviations, "pages": job_pages,
           "extract": job_extract, "extract_stream": job_extract_stream, "hierarchy": job_hierarchy,
           "retrieve": job_retrieve}[a.job]
-    fn(spark, *a.args)
+    started = fn(spark, *a.args)
+    if started is not None:  # a stream that goes on: stay until it ends
+        started.awaitTermination()
 
 
 if __name__ == "__main__":

@@ -457,13 +457,13 @@ def _tuple_queries(spark, sf):
     t = _extract(spark, sf)
     vocab = VO.vocabulary(V.read(spark, sf, "documents"), "text", stem=False)
     f = VO.vocabulary_filter(t, ["claim_id", "seq"], "phrase", vocab, stem=False)
-    return f.select((F.col("claim_id") * 1000 + F.col("seq")).alias("query_id"), F.col("phrase").alias("Diagnostic"),
+    return f.select(F.concat_ws("-", "claim_id", "seq").alias("query_id"), F.col("phrase").alias("Diagnostic"),
                     RT.query_text_from_tuple("phrase", "member", "side").alias("qtext"))
 
 
 def _retrieve_tuples_sql() -> str:
     ext = _extract_sql()
-    src = (f"SELECT claim_id * 1000 + seq AS query_id, phrase AS raw, member, side "
+    src = (f"SELECT claim_id::VARCHAR || '-' || seq::VARCHAR AS query_id, phrase AS raw, member, side "
            f"FROM ({ext})")
     vf = _vocab_filter_sql(f"({src})", "query_id", "raw", S.ws_tokens).replace(
         "src AS (SELECT query_id AS query_id, raw AS raw FROM", "src AS (SELECT query_id, raw, member, side FROM", 1)
@@ -667,11 +667,19 @@ def concat_columns(spark, sf):
 # Web pages
 # ---------------------------------------------------------------------------
 
+# FIXED VALUES: character references that occur in the pages, for the oracle ("&amp;" last).
+_REFERENCES = [("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+
+
+def _references_sql(txt: str) -> str:
+    for ref, ch in _REFERENCES:
+        txt = f"replace({txt}, {S.q(ref)}, {S.q(ch)})"
+    return txt
+
+
 def _html_sql(cls: str) -> str:
-    pat = S.q(HT.container_pattern(cls))
-    txt = f"regexp_replace(regexp_extract(html, {pat}, 1), '<[^>]*>', '', 'g')"
-    for ent, ch in HT.ENTITIES:
-        txt = f"replace({txt}, {S.q(ent)}, {S.q(ch)})"
+    pat = S.q(f'(?s)<div[^>]*\\sclass\\s*=\\s*"(?:[^"]*\\s)?{cls}(?:\\s[^"]*)?"[^>]*>(.*?)</div>')
+    txt = _references_sql(f"regexp_replace(regexp_extract(html, {pat}, 1), '<[^>]*>', '', 'g')")
     return (f"SELECT page_id, url, CASE WHEN regexp_matches(html, {pat}) THEN {txt} || ' ' END AS container_text "
             f"FROM pages")
 
@@ -682,11 +690,16 @@ def html_container_text(spark, sf):
     return p.select("page_id", "url", HT.container_text("html", "ad").alias("container_text"))
 
 
-@register("html_container_text_nested", _html_sql("ad"))
+_OUTER_SQL = ("SELECT page_id, url, " + _references_sql("regexp_replace(html, '<[^>]*>', '', 'g')")
+              + " || ' ' AS container_text FROM pages")
+
+
+@register("html_container_text_nested", _OUTER_SQL)
 def html_container_text_nested(spark, sf):
-    """S7 through the element parser (nested containers); same answer on flat ones."""
+    """S7 on containers that really nest: each whole page inside an outer container, its own div inside."""
     p = V.read(spark, sf, "pages")
-    return p.select("page_id", "url", HT.container_text_nested("html", "ad").alias("container_text"))
+    outer = F.concat(F.lit("<body><div id='o' class='main outer'>"), "html", F.lit("</div>tail</body>"))
+    return p.select("page_id", "url", HT.container_text(outer, "outer").alias("container_text"))
 
 
 # --- repeated queries: the shape of real claim diagnoses ------------------------------

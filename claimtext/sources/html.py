@@ -2,88 +2,74 @@
 
 The reference fetched pages with a headless browser and kept the text of
 one ``div`` by class.  Here pages are a table ``(page_id, url, html)`` and
-the extraction is a column expression: locate the first ``div`` whose class
-list contains the name, strip inner tags, decode entities, add one trailing
-space.  A page without the container gives null.  The expression stops at
-the first closing ``</div>``; containers that nest other ``div`` elements
-can use ``container_text_nested`` (an Arrow-batched parser over the rows).
+the extraction is one column expression of built-in functions: the page is
+split once at the first opening ``div`` whose class list has the name, the
+rest is cut into pieces that begin with a tag, a fold over the pieces finds
+the ``</div>`` that closes the container, and the texts of the pieces before
+it are joined, with character references decoded and one trailing space.
+Nested ``div`` elements are kept whole; a container that is never closed
+reaches to the end of the page; comments are dropped.  A page without the
+container (or a null page) gives null.
 """
 
 from __future__ import annotations
 
+import json
 import re
-import sys
+from html.entities import html5
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# the parser UDF is shipped to Python workers by value
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from claimtext.functions.text import let
 
-# FIXED VALUES: named and numeric entities decoded in container text, in
-# decoding order ("&amp;" last so that "&amp;lt;" gives "&lt;").
-ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&nbsp;", "\xa0"), ("&copy;", "©"), ("&middot;", "·"), ("&reg;", "®"), ("&amp;", "&"),
-]
 
-
-def container_pattern(cls: str) -> str:
+def opening_pattern(cls: str) -> str:
+    """The opening tag of a div whose class list has cls; any quotes, any attribute order."""
     c = re.escape(cls)
-    return f'(?s)<div[^>]*\\sclass\\s*=\\s*"(?:[^"]*\\s)?{c}(?:\\s[^"]*)?"[^>]*>(.*?)</div>'
+    quoted = "|".join(f"{q}(?:[^{q}>]*\\s)?{c}(?:\\s[^{q}>]*)?{q}" for q in "\"'")
+    return f"<[dD][iI][vV]\\s(?:[^>]*\\s)?[cC][lL][aA][sS][sS]\\s*=\\s*(?:{quoted}|{c}(?=[\\s>]))[^>]*>"
+
+
+def _code_point(number: Column) -> Column:
+    valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    safe = F.when(valid, number).otherwise(F.lit(0xFFFD))
+    return F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
+
+
+def decode_references(text: Column) -> Column:
+    """Decode ``&name;``, ``&#123;`` and ``&#x7B;``; anything else stays."""
+    names = F.from_json(F.lit(json.dumps({n[:-1]: v for n, v in html5.items() if n.endswith(";")})),
+                        "map<string,string>")
+
+    def piece(p: Column) -> Column:
+        name = F.regexp_extract(p, r"^&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);", 1)
+        char = (F.when(name == "", F.lit(None).cast("string"))
+                .when(name.rlike("^#[xX]"), _code_point(F.conv(F.substr(name, F.lit(3)), 16, 10).cast("long")))
+                .when(name.startswith("#"), _code_point(F.substr(name, F.lit(2)).cast("long")))
+                .otherwise(names[name]))
+        return F.when(char.isNull(), p).otherwise(F.concat(char, F.substr(p, F.length(name) + 3)))
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "(?=&)"), piece), "")
+                  ).otherwise(text)
 
 
 def container_text(html, cls: str) -> Column:
     h = F.col(html) if isinstance(html, str) else html
-    inner = F.regexp_extract(h, container_pattern(cls), 1)
-    found = h.rlike(container_pattern(cls))
-    txt = F.regexp_replace(inner, "<[^>]*>", "")
-    for ent, ch in ENTITIES:
-        txt = F.replace(txt, F.lit(ent), F.lit(ch))
-    return F.when(found, F.concat(txt, F.lit(" ")))
-
-
-def _nested_text(doc: str | None, cls: str) -> str | None:
-    from html.parser import HTMLParser
-
-    class P(HTMLParser):
-        def __init__(self):
-            super().__init__(convert_charrefs=True)
-            self.depth = 0
-            self.done = False
-            self.parts: list[str] = []
-
-        def handle_starttag(self, tag, attrs):
-            if self.done:
-                return
-            if self.depth:
-                if tag == "div":
-                    self.depth += 1
-            elif tag == "div" and cls in (dict(attrs).get("class") or "").split():
-                self.depth = 1
-
-        def handle_endtag(self, tag):
-            if self.depth and tag == "div":
-                self.depth -= 1
-                if self.depth == 0:
-                    self.done = True
-
-        def handle_data(self, data):
-            if self.depth and not self.done:
-                self.parts.append(data)
-
-    if doc is None:
-        return None
-    p = P()
-    p.feed(doc)
-    return "".join(p.parts) + " " if (p.done or p.depth) else None
-
-
-def container_text_nested(html, cls: str) -> Column:
-    @F.pandas_udf(T.StringType())
-    def _udf(s: pd.Series) -> pd.Series:
-        return s.map(lambda d: _nested_text(d, cls))
-    return _udf(F.col(html) if isinstance(html, str) else html)
+
+    def inside(pieces: Column) -> Column:
+        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at"), F.lit(-1).alias("end"))
+
+        def step(a: Column, x: Column) -> Column:
+            depth = a["depth"] + F.when(x.rlike("^<[dD][iI][vV][\\s/>]"), 1).when(x.rlike("^</[dD][iI][vV][\\s>]"), -1).otherwise(0)
+            return F.struct(depth.alias("depth"), (a["at"] + 1).alias("at"),
+                            F.when((a["end"] < 0) & (depth == 0), a["at"]).otherwise(a["end"]).alias("end"))
+
+        closed = F.aggregate(pieces, start, step, lambda a: a["end"])
+        own = F.slice(pieces, F.lit(1), F.when(closed < 0, F.size(pieces)).otherwise(closed))
+        return F.array_join(F.transform(own, lambda x: F.regexp_replace(x, "^<[a-zA-Z/!?][^>]*>", "")), "")
+
+    after = F.get(F.split(h, opening_pattern(cls), 2), F.lit(1))
+    pieces = F.split(F.regexp_replace(after, "(?s)<!--.*?-->", ""), "(?=<)")
+    # bound, so that a page is split once however often its text is used
+    return let(pieces, lambda p: let(inside(p), lambda t: F.concat(decode_references(t), F.lit(" "))))

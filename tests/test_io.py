@@ -44,11 +44,16 @@ def test_html_container(spark):
         (2, "<html><p>none</p></html>"),
         (3, '<div class="ad">a<div class="in">b</div>c</div>'),
     ], "page_id long, html string")
-    flat = {r["page_id"]: r["t"] for r in pages.select("page_id", HT.container_text("html", "ad").alias("t")).collect()}
-    assert flat == {1: "Bonjour & salut ", 2: None, 3: "ab "}
-    nested = {r["page_id"]: r["t"] for r in
-              pages.select("page_id", HT.container_text_nested("html", "ad").alias("t")).collect()}
-    assert nested == {1: "Bonjour & salut ", 2: None, 3: "abc "}
+    more = spark.createDataFrame([
+        (4, "<div class='ad'>q</div>"), (5, '<DIV id=x CLASS="x ad y">a<div>b</div><!-- </div> --><p>c</DIV>d'),
+        (6, '<div class="screen"></div><div class="ad">&eacute; &#233; &#xE9; &#128512; &nope; &amp;lt; 1 < 2</div>'),
+        (7, '<div class="adx">no</div>'), (8, None), (9, '<div class="ad">open <div>end'), (10, '<div class="ad"></div>'),
+        (11, '<div class="ad">' + "<div>a" * 3000 + "</div>" * 3000 + "z</div>tail"),
+    ], "page_id long, html string")
+    got = {r["page_id"]: r["t"] for r in
+           pages.unionByName(more).select("page_id", HT.container_text("html", "ad").alias("t")).collect()}
+    assert got == {1: "Bonjour & salut ", 2: None, 3: "abc ", 4: "q ", 5: "abc ", 6: "é é é 😀 &nope; &lt; 1 < 2 ",
+                   7: None, 8: None, 9: "open end ", 10: " ", 11: "a" * 3000 + "z "}
 
 
 def test_unordered_lines_and_csv_needs_schema(spark):

@@ -97,3 +97,11 @@ def test_process_string_agrees_with_model(spark, parts):
     got = df.select(TX.process_string(F.col("s")).alias("a"), TX.process_string_distinct(F.col("s")).alias("b")).first()
     assert got["a"] == model_process(s)
     assert got["b"] == model_process(s, distinct=True)
+
+
+def test_long_joined_token(spark):
+    """One token of many joined pieces: no recursion on the JVM's stack."""
+    t = "-".join(["ab"] * 20_000)
+    df = spark.createDataFrame([(t,), (t + " x",)], "s string")
+    got = df.select(F.size(TX.raw_tokens("s")).alias("n"), TX.has_two_raw_tokens(F.col("s")).alias("two")).collect()
+    assert [tuple(r) for r in got] == [(1, False), (2, True)]
