@@ -88,7 +88,35 @@ def op8_quotation(spark: SparkSession, sf: str) -> DataFrame:
         "conv_id", "turn", "role", "parent", "thread", "depth", "n_quoted", F.sha2("chat", 256).alias("chat_sha256"))
 
 
-@register("op9_quality")
+def _quality_sql() -> str:
+    """The measures and the table of rules over documents, stated for DuckDB."""
+    stop = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS)))
+    tests = []
+    for measure, per, low, high, only in quality.RULES:
+        parts = [f"{measure} >= {low} * {per}"] * (low is not None) + [f"{measure} <= {high} * {per}"] * (high is not None)
+        ok = " AND ".join(parts)
+        tests.append(f"({ok})" if only is None else f"({ok} OR NOT ({only[0]} >= {only[2]} * {only[1]}))")
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT doc_id, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM g) WHERE n > 1),
+p AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM r) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(words)::BIGINT AS n_words,
+             length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
+             (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words,
+             length(regexp_replace(t, '[\x09-\x0D\x20-\x40\x5B-\x60\x7B-\x7E]', '', 'g'))::BIGINT AS n_letters,
+             length(regexp_replace(t, '[^A-Za-z]', '', 'g'))::BIGINT AS n_ascii_letters,
+             len(list_filter(words, lambda x: lower(x) IN ({stop})))::BIGINT AS n_stop
+      FROM w LEFT JOIN p USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {" AND ".join(tests)} AS kept FROM m"""
+
+
+@register("op9_quality", _quality_sql())
 def op9_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(_documents(spark, sf, "text")).drop("text")
 
