@@ -16,6 +16,7 @@ from claimtext.functions.patterns import member_and_side
 from claimtext.functions.patterns import members_from_columns as member_list
 from claimtext.operators import extract as EX
 from claimtext.plans import sql as S
+from claimtext.plans.stem_sql import stem_ctes
 from claimtext.plans import views as V
 
 QUERIES: dict = {}
@@ -108,11 +109,33 @@ def _flag_member_sql():
     return [(n, *member_and_side(n)) for n in _FLAG_NAMES]
 
 
-_MEMBER_COUNTS_SQL = " UNION ALL ".join(
-    f"SELECT {S.q(n)} AS col_name, "
-    + (f"'Autre partie: ' AS member" if other else f"{S.q(m)} AS member")
-    + f", {S.q(side)} AS side, count(*) FILTER (WHERE {n}) AS n_claims FROM ({V.claims_sql()})"
-    for n, m, side, other in _flag_member_sql())
+# M1 and M2 stated over the list of column names
+_FLAG_COUNTS_SQL = f"""
+UNPIVOT (SELECT {', '.join(f'count(*) FILTER (WHERE {n}) AS {n}' for n in _FLAG_NAMES)} FROM ({V.claims_sql()}))
+ON {', '.join(_FLAG_NAMES)} INTO NAME col_name VALUE n_claims"""
+
+_MEMBER_COUNTS_SQL = f"""
+SELECT col_name, n_claims,
+       CASE WHEN contains(c, 'gauche') THEN split_part(c, 'gauche', 1) WHEN contains(c, 'droit') THEN split_part(c, 'droit', 1)
+            WHEN c = 'autrepartiecorps' THEN 'Autre partie: ' ELSE c END AS member,
+       CASE WHEN contains(c, 'gauche') THEN 'gauche' WHEN contains(c, 'droit') THEN 'droit' ELSE 'inconnu' END AS side
+FROM (SELECT col_name, n_claims, regexp_replace(lower(col_name), '^.*indlesion', '') AS c FROM ({_FLAG_COUNTS_SQL}))"""
+
+_MEMBER_LIST_SQL = f"""
+SELECT lower(name) AS member, sum(n_claims)::BIGINT AS n_flags
+FROM (SELECT n_claims, split_part(split_part(regexp_replace(col_name, '^.*IndLesion', ''), 'Gauche', 1), 'Droit', 1) AS name
+      FROM ({_FLAG_COUNTS_SQL}))
+WHERE name NOT IN ('Cuissse', 'AutrePartieCorps') GROUP BY 1"""
+
+
+@register("member_list", _MEMBER_LIST_SQL)
+def members_of_claims(spark, sf):
+    """M1: the members that the columns name, each with how often a claim flags it."""
+    c = V.claims(spark, sf)
+    columns = c.columns[2:]  # those after the description
+    flags = EX.flags_long(c, "claim_id", "description")
+    return (flags.where(F.col("member").isin(member_list(columns)))
+            .groupBy("member").agg(F.count(F.lit(1)).alias("n_flags")))
 
 
 @register("members_from_columns", _MEMBER_COUNTS_SQL)
@@ -252,11 +275,33 @@ from claimtext.operators import retrieve as RT  # noqa: E402
 from claimtext.operators import vocab as VO  # noqa: E402
 
 
-def _vocab_sql(text: str, table: str) -> str:
+def _vocab_words_sql(text: str, table: str) -> str:
     s = S.punct(S.numbers(f"lower({text})"))
     t = S.ws_tokens(S.apostrophe(f"array_to_string({S.drop_stop(S.ws_tokens(s))}, ' ')"))
-    return (f"SELECT DISTINCT w AS word FROM (SELECT unnest({t}) AS w FROM {table}) "
-            f"WHERE length(w) > 2 AND NOT list_contains({S.stop_list()}, w)")
+    return f"SELECT DISTINCT w AS word FROM (SELECT unnest({t}) AS w FROM {table})"
+
+
+_KEPT_WORD = f"length(word) > 2 AND NOT list_contains({S.stop_list()}, word)"
+
+
+def _vocab_sql(text: str, table: str) -> str:
+    return f"SELECT word FROM ({_vocab_words_sql(text, table)}) WHERE {_KEPT_WORD}"
+
+
+def _stem_or_stop(st: str = "st") -> str:
+    """A word's stem from the table st; a stop word stays as it is."""
+    return f"CASE WHEN list_contains({S.stop_list()}, {st}.word) THEN {st}.word ELSE {st}.stem END"
+
+
+def _stem_vocab_sql(words: str, st: str = "st") -> str:
+    return (f"SELECT DISTINCT word FROM (SELECT {_stem_or_stop(st)} AS word FROM {words} JOIN {st} USING (word)) "
+            f"WHERE {_KEPT_WORD}")
+
+
+def _unstemmed_tokens(x: str) -> str:
+    """The tokens that P13 and P14 stem."""
+    t = S.drop_stop(S.ws_tokens(S.punct(f"lower({S.numbers(S.fold(x))})")))
+    return S.ws_tokens(S.apostrophe(f"array_to_string({t}, ' ')"))
 
 
 @register("vocabulary_nostem", _vocab_sql("text", "documents"))
@@ -264,9 +309,11 @@ def vocabulary_nostem(spark, sf):
     return VO.vocabulary(V.read(spark, sf, "documents"), "text", stem=False)
 
 
-@register("vocabulary_stem")
+@register("vocabulary_stem", f"""
+WITH words AS ({_vocab_words_sql('text', 'documents')}), {stem_ctes('words')}
+{_stem_vocab_sql('words')}""")
 def vocabulary_stem(spark, sf):
-    """P17 with stemming (no SQL stemmer in the oracle: rows-only check)."""
+    """P17 with stemming."""
     return VO.vocabulary(V.read(spark, sf, "documents"), "text", stem=True)
 
 
@@ -276,9 +323,11 @@ def abbreviation_vocabulary(spark, sf):
     return VO.abbreviation_vocabulary(V.read(spark, sf, "benchmark"), "text")
 
 
-@register("stem_dictionary")
+@register("stem_dictionary", f"""
+WITH words AS (SELECT DISTINCT unnest({S.process_tokens('text')}) AS word FROM documents), {stem_ctes('words')}
+SELECT word AS token, {_stem_or_stop()} AS stem FROM st""")
 def stem_dictionary(spark, sf):
-    """Every distinct cleaned token of the corpus and its stem (rows-only)."""
+    """Every distinct cleaned token of the corpus and its stem."""
     d = V.read(spark, sf, "documents").select(TX.process_tokens("text").alias("t"))
     return VO.stem_dictionary(d, "t", ignore_stopwords=True)
 
@@ -306,9 +355,18 @@ def vocabulary_filter(spark, sf):
     return out.select("doc_id", "filtered")
 
 
-@register("vocabulary_filter_stem")
+@register("vocabulary_filter_stem", f"""
+WITH docs AS (SELECT doc_id, {S.extraction_line('text')} AS line FROM documents),
+toks AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS pos
+         FROM (SELECT doc_id, {S.ws_tokens('line')} AS t FROM docs)),
+bwords AS ({_vocab_words_sql('text', 'benchmark')}),
+words AS (SELECT word FROM bwords UNION SELECT lower(w) FROM toks), {stem_ctes('words')},
+vocab AS ({_stem_vocab_sql('bwords')}),
+kept AS (SELECT doc_id, string_agg(w || ' ', '' ORDER BY pos) AS filtered
+         FROM toks JOIN st ON st.word = lower(w) WHERE stem IN (SELECT word FROM vocab) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(k.filtered, '') AS filtered FROM docs d LEFT JOIN kept k USING (doc_id)""")
 def vocabulary_filter_stem(spark, sf):
-    """V1 with stems on both sides (rows-only check)."""
+    """V1 with stems on both sides."""
     d = V.read(spark, sf, "documents").select("doc_id", TX.extraction_line("text").alias("line"))
     vocab = VO.vocabulary(V.read(spark, sf, "benchmark"), "text", stem=True)
     out = VO.vocabulary_filter(d, ["doc_id"], "line", vocab, stem=True, out_col="filtered")
@@ -436,10 +494,34 @@ def topk_labels(spark, sf):
     return _flat_codes(res)
 
 
-@register("topk_labels_stem")
+def _topk_labels_stem_sql() -> str:
+    """Stems of the vocabulary and the raw query words (fs), then of the cleaned corpus and query tokens (st)."""
+    head = f"""
+vwords AS ({_vocab_words_sql('text', 'documents')}),
+rtoks AS (SELECT item_id, unnest(t) AS w, generate_subscripts(t, 1) AS pos
+          FROM (SELECT item_id, {S.raw_tokens('text')} AS t FROM benchmark)),
+fwords AS (SELECT word FROM vwords UNION SELECT lower(w) FROM rtoks), {stem_ctes('fwords', 'fs')},
+vocab AS ({_stem_vocab_sql('vwords', 'fs')}),
+rkept AS (SELECT item_id, string_agg(w || ' ', '' ORDER BY pos) AS kept
+          FROM rtoks JOIN fs ON fs.word = lower(w) WHERE stem IN (SELECT word FROM vocab) GROUP BY item_id),
+qtoks AS (SELECT item_id, unnest({_unstemmed_tokens('kept')}) AS word FROM rkept),
+dtoks AS (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos
+          FROM (SELECT doc_id, {_unstemmed_tokens('text')} AS t FROM documents)),
+words AS (SELECT word FROM qtoks UNION SELECT word FROM dtoks), {stem_ctes('words')},
+dstems AS (SELECT doc_id, pos, {_stem_or_stop()} AS word FROM dtoks JOIN st USING (word)),
+dclean AS (SELECT doc_id, string_agg(word || ' ', '' ORDER BY pos) AS clean FROM dstems WHERE {_KEPT_WORD} GROUP BY doc_id),
+qstems AS (SELECT DISTINCT item_id, {_stem_or_stop()} AS word FROM qtoks JOIN st USING (word)),
+qclean AS (SELECT item_id, string_agg(word || ' ', '' ORDER BY word) AS clean FROM qstems WHERE {_KEPT_WORD} GROUP BY item_id),"""
+    corpus = "SELECT d.doc_id, coalesce(c.clean, '') AS clean, d.source AS label FROM documents d LEFT JOIN dclean c USING (doc_id)"
+    bq = ("bq AS (SELECT b.item_id AS query_id, b.text AS raw, coalesce(q.clean, '') AS qclean "
+          "FROM benchmark b LEFT JOIN qclean q USING (item_id))")
+    return _labels_sql(bq, "bq.raw", head + _tfidf_cte(corpus))
+
+
+@register("topk_labels_stem", _topk_labels_stem_sql())
 def topk_labels_stem(spark, sf):
     """R8 on the reference's default path: stemmed vocabulary filter, stemmed
-    query cleaning, stemmed corpus (rows-only: no SQL stemmer in the oracle)."""
+    query cleaning, stemmed corpus."""
     from claimtext.functions.stem import stem_tokens_ignore_stop
     b = V.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     vocab = VO.vocabulary(V.read(spark, sf, "documents"), "text", stem=True)
