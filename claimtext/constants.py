@@ -51,6 +51,7 @@ FOLD_EXCEPTIONS = {
     "«": "<<", "»": ">>", "–": "-", "—": "--",
     "…": "...", "®": "(r)", "©": "(c)", "°": "deg",
     "¡": "!", "¿": "?", "×": "x", "÷": "/",
+    "µ": "u", "¹": "1", "²": "2", "³": "3", "¼": "1/4", "½": "1/2", "¾": "3/4", "€": "EUR",
 }
 
 # Raw tokeniser (word tokens keep inner apostrophes, dots and hyphens; every

@@ -12,6 +12,7 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimtext import constants as K
 from claimtext.functions.patterns import Lexicon, member_and_side, members_from_columns
@@ -109,29 +110,27 @@ def job_hierarchy(spark: SparkSession, listing_path: str, codes_path: str, out:
     h = HI.attach_codes(nodes, codes, chapter_num, chapter_name,
                         num_col=codes.columns[0], label_col=codes.columns[1],
                         code_lengths=HI.LISTING_CODE_LENGTHS)
-    TB.write_csv(h.orderBy("line_no", "diagnostic_num").select(*K.HIERARCHY_COLUMNS), out)
+    TB.write_csv(h.orderBy("chapter", "line_no", "diagnostic_num").select(*K.HIERARCHY_COLUMNS), out)
     rejects.write.mode("overwrite").parquet(f"{out}_rejects")
 
 
-def read_hierarchy(spark: SparkSession, path: str) -> DataFrame:
-    """The hierarchy table as written by ``job_hierarchy`` (CSV with a header)
-    or as parquet; CSV is read with an explicit all-string schema."""
-    from pyspark.sql import types as T
-    try:
+def read_hierarchy(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """The hierarchy table as written by ``job_hierarchy`` (``csv``, read with an
+    explicit all-string schema) or as ``parquet``."""
+    if fmt == "parquet":
         return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - not parquet: the CSV layout
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in K.HIERARCHY_COLUMNS])
-        return TB.read_table(spark, path, fmt="csv", schema=schema)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in K.HIERARCHY_COLUMNS])
+    return TB.read_table(spark, path, fmt=fmt, schema=schema)
 
 
 def job_retrieve(spark: SparkSession, hierarchy_path: str, queries_path: str, out: str, k: int = 5,
                  text_col: str = "text", stem: bool = True, remove_duplicate: bool = False,
-                 vocab_path: str | None = None) -> None:
+                 vocab_path: str | None = None, hierarchy_format: str = "csv") -> None:
     """Top-k codes for query texts against the hierarchy corpus (P19, R1-R8); with a vocabulary its words alone count (V1-V3)."""
     from claimtext.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     k, stem, remove_duplicate = int(k), _flag(stem), _flag(remove_duplicate)
-    h = read_hierarchy(spark, hierarchy_path)
+    h = read_hierarchy(spark, hierarchy_path, hierarchy_format)
     st = stem_tokens_ignore_stop if stem else None
     h = h.select(*[F.nullif(F.col(c).cast("string"), F.lit("")).alias(c) for c in h.columns])  # as the CSV reads them
     # the key orders ties by content, the same for any number of files and either format

@@ -205,3 +205,10 @@ def test_user_lexicon_from_table(spark):
                                "claim_id long, description string, IndLesionGenou boolean, IndLesionMain boolean")
     got = sorted(tuple(r) for r in extract_tuples(df, lexicon=lex).collect())
     assert got == [(1, 0, "fracture rotule gauche", "genou", "gauche"), (2, 0, "coupure paume droite", "main", "droit")]
+
+
+def test_lexicon_with_capitals_matches_in_any_case(spark):
+    lex = Lexicon.from_rows([("genou", ["\\bGenou\\b", "\\bpatella\\W"], "genou")])
+    df = spark.createDataFrame([(1, "Entorse GENOU gauche", True, False, False, None)], SCHEMA)
+    assert [(r["phrase"], r["side"]) for r in extract_tuples(df, lexicon=lex).collect()] == [("entorse genou gauche", "gauche")]
+    assert "(?i" not in base_pattern("\\bgenou\\b|\\W")

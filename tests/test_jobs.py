@@ -28,6 +28,10 @@ def test_hierarchy_then_retrieve(spark):
     res = {r["query_id"]: r for r in spark.read.parquet(os.path.join(d, "res")).collect()}
     assert res[1]["CIM10s"][0] == "S020 - fracture de la voute du crane"
     assert res[2]["CIM10s"][0] == "S1000 - contusion de la gorge"
+    h.repartition(4).write.parquet(os.path.join(d, "h4"))   # the same rows as parquet, in four files
+    jobs.job_retrieve(spark, os.path.join(d, "h4"), os.path.join(d, "q"), os.path.join(d, "res4"), k=2,
+                      hierarchy_format="parquet")
+    assert {r["query_id"]: r for r in spark.read.parquet(os.path.join(d, "res4")).collect()} == res
 
 
 def test_vocabulary_and_extract(spark):

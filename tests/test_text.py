@@ -35,6 +35,11 @@ def test_fold(spark):
     assert TX.fold_python(s) == one(spark, TX.fold(F.col("s")), s)
 
 
+def test_fold_combining_marks_and_symbols(spark):
+    s = "e\u0301paule 5 µg ½ m² 3 €"
+    assert one(spark, TX.fold(F.col("s")), s) == "epaule 5 ug 1/2 m2 3 EUR" == TX.fold_python(s)
+
+
 def test_raw_tokens(spark):
     out = one(spark, TX.raw_tokens(F.col("s")), "l'épaule, genou. av-bras")
     assert out == ["l'épaule", ",", "genou", ".", "av-bras"]
