@@ -3,8 +3,8 @@
 The steps are a chain of common table expressions over a table of distinct
 words.  Regions are prefix lengths found by regular expressions; a suffix is
 the leftmost match of an alternation at the end of the word (or of its RV
-region), hence the longest; every step is one CASE.  Nothing is shared with
-the Python stemmer but the published description.
+region), hence the longest; every step is one CASE.  No code is shared
+with the Python stemmer.
 """
 
 from __future__ import annotations
