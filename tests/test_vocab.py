@@ -67,3 +67,23 @@ def test_filter_output_is_subsequence(spark, words, vocab):
     it = iter(phrase.split())
     assert all(any(w == x for x in it) for w in out)          # subsequence, order kept
     assert all(w.lower() in {x.lower() for x in vocab} for w in out)
+
+
+def test_filter_carries_columns_once_and_handles_odd_rows(spark):
+    from pyspark.sql import functions as F
+    rows = [(1, "a", "le GENOU le genou, Le", [1]), (2, "b", None, None), (3, None, "  ", [2]), (None, "c", "genou x", [])]
+    df = spark.createDataFrame(rows, "id long, tag string, phrase string, more array<int>")
+    vocab = spark.createDataFrame([("le",), ("genou",), (None,), ("le",)], "word string")
+    got = VO.vocabulary_filter(df, ["id"], "phrase", vocab, tokenizer="raw", stem=False, out_col="kept", keep_original=True)
+    assert got.columns == ["id", "tag", "more", "phrase", "kept"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(
+        [(1, "a", [1], rows[0][2], "le GENOU le genou Le "), (2, "b", None, None, ""), (3, None, [2], "  ", ""),
+         (None, "c", [], "genou x", "genou ")], key=str)
+    assert VO.vocabulary_filter(df.limit(0), "id", "phrase", vocab).count() == 0
+    assert VO.vocabulary_filter(df, "id", "phrase", vocab.limit(0)).where(F.col("phrase") != "").count() == 0
+    # a long text with many copies of many words, joined without a broadcast
+    words = [f"w{k % 700}" for k in range(20_000)]
+    long = spark.createDataFrame([(7, " ".join(words))], "id long, phrase string")
+    even = spark.createDataFrame([(f"w{k}",) for k in range(0, 700, 2)], "word string").hint("merge")
+    out = VO.vocabulary_filter(long, "id", "phrase", even, stem=False).first()["phrase"]
+    assert out == "".join(w + " " for w in words if int(w[1:]) % 2 == 0)
