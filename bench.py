@@ -24,6 +24,7 @@ from claimtext.session import get_spark  # noqa: E402
 HEADLINE = [
     "extract_tuples",
     "extract_member_side_counts",
+    "extract_default_lexicon",
     "process_string_nostem",
     "vocabulary_nostem",
     "vocabulary_stem",

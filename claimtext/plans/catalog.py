@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from claimtext import constants as K
 from claimtext.functions import text as TX
-from claimtext.functions.patterns import member_and_side
+from claimtext.functions.patterns import Lexicon, member_and_side
 from claimtext.functions.patterns import members_from_columns as member_list
 from claimtext.operators import extract as EX
 from claimtext.plans import sql as S
@@ -105,8 +105,8 @@ def drop_null_and_index(spark, sf):
     return c.select("claim_id", F.length("description").cast("long").alias("n_chars"), *flags)
 
 
-def _flag_member_sql():
-    return [(n, *member_and_side(n)) for n in _FLAG_NAMES]
+def _flag_member_sql(names=_FLAG_NAMES):
+    return [(n, *member_and_side(n)) for n in names]
 
 
 # M1 and M2 stated over the list of column names
@@ -162,33 +162,31 @@ def flags_long(spark, sf):
     return EX.flags_long(V.claims(spark, sf), "claim_id", "description")
 
 
-def _n_flags_sql():
-    return " + ".join(f"{n}::INTEGER" for n in _FLAG_NAMES)
-
-
-_PREP_SQL = f"""
+def _prep_sql(names=_FLAG_NAMES, claims=None):
+    return f"""
 SELECT claim_id, {S.extraction_line('description')} AS line,
-       coalesce(PrecisionLesionAutrePartieCorps, 'nan') AS prec, {', '.join(_FLAG_NAMES)},
-       ({_n_flags_sql()}) AS n_flags,
-       list_filter([{', '.join(f"CASE WHEN {n} THEN {S.q(m)} END" for n, m, _s, o in _flag_member_sql() if not o)}],
+       coalesce(PrecisionLesionAutrePartieCorps, 'nan') AS prec, {', '.join(names)},
+       ({" + ".join(f"{n}::INTEGER" for n in names)}) AS n_flags,
+       list_filter([{', '.join(f"CASE WHEN {n} THEN {S.q(m)} END" for n, m, _s, o in _flag_member_sql(names) if not o)}],
                    lambda x: x IS NOT NULL) AS mems
-FROM ({V.claims_sql()})
+FROM ({claims or V.claims_sql()})
 WHERE description IS NOT NULL AND len({S.raw_tokens('description')}) > 1
 """
 
 
 @register("route_counts", f"""
 SELECT CASE WHEN n_flags = 1 THEN 1 WHEN n_flags > 1 THEN 2 ELSE 3 END AS route, count(*) AS n_claims
-FROM ({_PREP_SQL}) GROUP BY 1""")
+FROM ({_prep_sql()}) GROUP BY 1""")
 def route_counts(spark, sf):
     p = EX.prepare(V.claims(spark, sf), "claim_id", "description")
     return p.groupBy(EX.route(F.size("hits")).alias("route")).agg(F.count(F.lit(1)).alias("n_claims"))
 
 
-def _extract_sql(routes=(1, 2, 3), keep_unknown: bool = False) -> str:
-    lex = V.test_lexicon()
-    flag_members = sorted({m for _n, m, _s, o in _flag_member_sql() if not o})
-    all_members = member_list(_FLAG_NAMES + ["PrecisionLesionAutrePartieCorps"])
+def _extract_sql(routes=(1, 2, 3), keep_unknown: bool = False, lex=None, names=_FLAG_NAMES, claims=None,
+                 all_members=None) -> str:
+    lex = lex or V.test_lexicon()
+    flag_members = sorted({m for _n, m, _s, o in _flag_member_sql(names) if not o})
+    all_members = all_members or member_list(names + ["PrecisionLesionAutrePartieCorps"])
     parts = []
     if 1 in routes:
         ph, mb, sd = S.match_by_name("line", "mems[1]", flag_members, lex)
@@ -224,7 +222,7 @@ fold AS (
     body = "\nUNION ALL\n".join(parts)
     keep = "" if keep_unknown else f"WHERE phrase <> {S.q(K.UNKNOWN)}"
     return f"""
-WITH RECURSIVE prep AS ({_PREP_SQL}){fold_cte},
+WITH RECURSIVE prep AS ({_prep_sql(names, claims)}){fold_cte},
 allt AS ({body}),
 numbered AS (SELECT claim_id, (row_number() OVER (PARTITION BY claim_id ORDER BY i, sub) - 1)::BIGINT AS seq,
                     phrase, member, side FROM allt)
@@ -258,6 +256,18 @@ def extract_tuples(spark, sf):
     return _extract(spark, sf)
 
 
+# the members that the columns of the body claims name, "Cuissse" left out, the hip without an entry
+_BODY_MEMBERS = sorted([*K.DEFAULT_LEXICON, "hanche"])
+
+
+@register("extract_default_lexicon", _extract_sql(
+    lex=Lexicon.default(), names=[n for n, _m in V.BODY_FLAGS], claims=V.body_claims_sql(), all_members=_BODY_MEMBERS))
+def extract_default_lexicon(spark, sf):
+    """E9 with the default lexicon and sides on claims that name every member."""
+    out = EX.extract_tuples(V.body_claims(spark, sf), "claim_id", "description")
+    return out.withColumn("seq", F.col("seq").cast("long"))
+
+
 @register("extract_member_side_counts", f"""
 SELECT member, side, count(*) AS n_tuples, count(DISTINCT claim_id) AS n_claims
 FROM ({_extract_sql()}) GROUP BY member, side""")
