@@ -249,3 +249,44 @@ def test_quotation_long_chain_and_empty(spark):
     got = {r.turn: (r.thread, r.depth) for r in quotes.conversations(df).collect()}
     assert got == {k: (0, k) for k in range(20)}
     assert quotes.conversations(df.limit(0)).count() == 0
+
+
+def parents(spark, texts, conv=1):
+    df = spark.createDataFrame([(conv, k, "user", t) for k, t in enumerate(texts)],
+                               "conv_id long, turn long, role string, text string").repartition(3)
+    return {r.turn: r.parent for r in quotes.conversations(df).collect()}
+
+
+def test_quotation_of_parts(spark):
+    """Interleaved, one paragraph of several, two messages in succession, only deep quotes, wrapped anew."""
+    got = parents(spark, [
+        "first line here\nsecond line here", "one paragraph\nof two lines\n\nanother paragraph", "a message alone",
+        "> first line here\nyes\n> second line here\nno", "> another paragraph\nright", "> one paragraph of two lines\nwrong",
+        "> one paragraph\n> a message alone\nboth", ">> a message alone\ndeep", "> first line\n> here second line here\nwrapped",
+        ">> first line here\n> yes\nwhy", "hi", "hi", "> hi\n> a message alone", "> hi", "hi", "> never\n> said"])
+    assert got == {0: None, 1: None, 2: None, 3: 0, 4: 1, 5: 1, 6: 2, 7: 6, 8: 0, 9: 3, 10: None, 11: None, 12: 2, 13: 11,
+                   14: None, 15: None}
+
+
+def test_quotation_against_all_pairs(spark):
+    """Frequent lines quoted in any mix: the candidates lose no better parent."""
+    rng = __import__("random").Random(5)
+    said = [f"line {c * (k + 1)}" for k, c in enumerate("abcdef")]
+    texts = ["\n\n".join(f"{'>' * rng.choice([0, 0, 0, 1, 1, 2])} {rng.choice(said[:rng.randint(1, 6)])}\nown {k} {j}"
+                         for j in range(rng.randint(1, 4))) for k in range(120)]
+    rows = [[(x[:2].count(">"), x.lstrip("> ")) for x in t.split("\n") if x] for t in texts]
+    want = {}
+    for t, own in enumerate(rows):
+        best = (0, 0, 0, None)
+        for p in range(t):
+            n = [0, 0, 0]
+            for level, line in own:
+                at = [low for low, x in rows[p] if x == line and low < level]
+                if at:
+                    n[0] += len(line) * (level == 1)
+                    n[1] += len(line) * (level - 1 in at)
+                    n[2] += len(line)
+            if n[2]:
+                best = max(best, (*n, p), key=lambda b: (b[:3], -1 if b[3] is None else b[3]))
+        want[t] = best[3]
+    assert parents(spark, texts) == want
