@@ -12,7 +12,16 @@ and its least and greatest text; only where these are the same bytes is the
 group a repeat, otherwise it stays.  So all copies are compared byte by byte
 in one aggregation that combines before the shuffle: a chunk that a third of
 all documents share is one row for each task.  The repeats then go back to the
-rows by slim keys.  Only DataFrame functions are used.
+rows by slim keys.
+
+Chunks miss what is shared by less than a chunk.  With ``runs``, what goes is
+decided by lines instead: every run of ``MIN_LINES`` lines (blank ones between
+them included) that also starts earlier (smaller id, then smaller text hash,
+or same row, earlier and without overlap) is removed.  So of any passage of
+``MIN_LINES`` or more lines that stands earlier all lines go, wherever chunks
+end; a chunk of which only blank lines would stay goes whole.  Each removed
+line stays once at its earliest place.  Runs are told apart by SHA-256 of their
+bytes, so the texts are not shuffled for them.  Only DataFrame functions are used.
 
 Defined results: a null text stays null, an empty one empty; chunks of single
 or blank lines stay.  Null ids sort last.  Rows with equal id and text are
@@ -62,15 +71,85 @@ def _chunks(ends: str, lines: str) -> Column:
     return F.transform(e, chunk)
 
 
+def _repeated_runs(cut: DataFrame, key: str, tag: str, lines: str, min_lines: int) -> DataFrame:
+    """(id, tag, first, end): the runs of min_lines full lines that also start earlier."""
+    full, = fresh(cut, "full")
+    places = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(NOT_SPACE), i)), lambda i: i.isNotNull())
+    indexed = cut.select("*", F.explode_outer(F.array(places)).alias(full))
+
+    def run(first: Column, i: Column) -> Column:
+        end = F.get(F.col(full), i + min_lines - 1) + 1
+        text = F.array_join(F.slice(F.col(lines), first + 1, end - first), "\n")
+        return F.struct(first.alias("first"), end.alias("end"), F.unhex(F.sha2(text, 256)).alias("digest"))
+
+    starts = F.slice(F.col(full), 1, F.greatest(F.size(full) - (min_lines - 1), F.lit(0)))
+    run_ = indexed.select(F.col(key).alias("id"), F.col(tag).alias("tag"), F.explode(F.transform(starts, run)).alias("r"))
+    run_ = run_.select("id", "tag", "r.first", "r.end", "r.digest")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "tag", F.col("first").alias("at"))
+    groups = run_.groupBy("digest").agg(F.count("*").alias("copies"), F.min(place).alias("earliest"))
+    repeats = checkpointed(groups.where("copies > 1").select("digest", "earliest"))
+    e = F.col("earliest")
+    overlap = (F.col("id").eqNullSafe(e["id"]) & F.col("tag").eqNullSafe(e["tag"])
+               & (F.col("first") < e["at"] + F.col("end") - F.col("first")))
+    return run_.join(repeats, "digest").where((place > e) & ~overlap).select("id", "tag", "first", "end")
+
+
+def _without_runs(joined: DataFrame, text: str, lines: str, ends: str, gone: str, width: int, spread: int,
+                  min_lines: int, *others: Column) -> DataFrame:
+    """The result columns of dedup by runs; gone is the array of (first, end) or null."""
+    full = _chunked(joined, text, lines, ends, width, spread)
+    spans, flags, parts, left = fresh(full, "spans", "flags", "parts", "left")
+
+    def pinned(df: DataFrame, name: str, value: Column) -> DataFrame:
+        return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+    n = F.size(lines)
+    last = F.struct(n.alias("first"), n.alias("end"))
+    full = pinned(full, spans, F.concat(F.coalesce(F.sort_array(gone), F.expr("cast(array() as array<struct<first:int,end:int>>)")),
+                                        F.array(last)))
+
+    def flagged(span: Column, i: Column) -> Column:
+        """The lines from the end of the span before to the end of this one; spans are in order, also by their ends."""
+        before = F.coalesce(F.get(F.col(spans), i - 1)["end"], F.lit(0))
+        return F.concat(F.array_repeat(F.lit(False), F.greatest(span["first"] - before, F.lit(0))),
+                        F.array_repeat(F.lit(True), span["end"] - F.greatest(span["first"], before)))
+
+    full = pinned(full, flags, F.flatten(F.transform(spans, flagged)))
+    whole = pinned(full, parts, _chunks(ends, lines))
+
+    def stays(c: Column) -> Column:
+        own = F.filter(F.slice(F.col(lines), c["first"] + 1, c["n"]), lambda x, i: ~F.get(F.col(flags), c["first"] + i))
+        blank = (c["full"] >= min_lines) & ~F.exists(own, lambda x: x.rlike(NOT_SPACE))
+        return F.when(~blank, own)
+
+    kept = pinned(whole, left, F.transform(parts, stays))
+    null = F.col(lines).isNull()
+    rest = F.flatten(F.filter(F.col(left), lambda x: x.isNotNull()))
+    return computed(kept, {
+        "kept_text": F.when(quoted(text).isNotNull(), F.array_join(rest, "\n")),
+        "n_lines": F.when(null, 0).otherwise(n).cast("long"),
+        "n_chunks": F.when(null, 0).otherwise(F.size(parts)).cast("long"),
+        "n_removed_chunks": F.when(null, 0).otherwise(F.size(F.filter(F.col(left), lambda x: x.isNull()))).cast("long"),
+        "n_removed_lines": F.when(null, 0).otherwise(n - F.size(rest)).cast("long"),
+    }, *others)
+
+
 def dedup(docs: DataFrame, width: int = WIDTH, spread: int = SPREAD, min_lines: int = MIN_LINES, id: str = "doc_id",
-          text: str = "text") -> DataFrame:
-    """docs with kept_text, n_lines, n_chunks, n_removed_chunks and n_removed_lines."""
+          text: str = "text", runs: bool = False) -> DataFrame:
+    """docs with kept_text, n_lines, n_chunks, n_removed_chunks and n_removed_lines; by whole chunks or by runs."""
     out = ["kept_text", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines"]
     docs = without(docs, *[c for c in out if c != text])
     key, tag, lines, ends, gone, g_id, g_tag = fresh(docs, "id", "tag", "lines", "ends", "gone", "g_id", "g_tag")
     keyed = docs.select("*", quoted(id).alias(key), F.xxhash64(quoted(text).cast("string")).alias(tag))
     slim = keyed.select(key, tag, quoted(text).alias("text"))
     cut = _chunked(slim, "text", lines, ends, width, spread)
+    if runs:
+        split = slim.withColumn(lines, F.split(F.col("text").cast("string"), "\n"))
+        of_doc = checkpointed(_repeated_runs(split, key, tag, lines, min_lines).groupBy(
+            F.col("id").alias(g_id), F.col("tag").alias(g_tag)).agg(
+            F.collect_set(F.struct("first", "end")).alias(gone)))  # at most the lines of one text
+        joined = keyed.join(of_doc, F.col(key).eqNullSafe(F.col(g_id)) & F.col(tag).eqNullSafe(F.col(g_tag)), "left")
+        return _without_runs(joined, text, lines, ends, gone, width, spread, min_lines, *[quoted(c) for c in docs.columns])
     chunk = cut.select(key, tag, F.explode_outer(_chunks(ends, lines)).alias("c")).where(F.col("c.full") >= min_lines)
     chunk = chunk.select(F.col(key).alias("id"), F.col(tag).alias("tag"), F.col("c.at").alias("at"),
                          F.col("c.n").alias("n"), F.xxhash64("c.text").alias("h1"),

@@ -77,7 +77,7 @@ def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("op7_line_dedup")
 def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return lines.dedup(_documents(spark, sf, "text")).select(
+    return lines.dedup(_documents(spark, sf, "text"), runs=True).select(
         "doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines",
         F.sha2("kept_text", 256).alias("kept_sha256"))
 

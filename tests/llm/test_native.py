@@ -290,3 +290,72 @@ def test_quotation_against_all_pairs(spark):
                 best = max(best, (*n, p), key=lambda b: (b[:3], -1 if b[3] is None else b[3]))
         want[t] = best[3]
     assert parents(spark, texts) == want
+
+
+def brute_runs(rows):
+    """{(id, text): kept lines} for runs of two full lines; ids may be null, rows that agree are one."""
+    own = {r: r[1].split("\n") for r in rows if r[1] is not None}
+    tags = {t: xxhash64(t) for _, t in own}
+    first, places = {}, []
+    for (i, t), x in own.items():
+        full = [k for k, line in enumerate(x) if brute.SPACE_WORD.search(line)]
+        for a, b in zip(full, full[1:]):
+            at, text = (i is None, i or 0, tags[t], a), tuple(x[a:b + 1])
+            first[text] = min(first.get(text, at), at)
+            places.append(((i, t), at, text))
+    gone = defaultdict(set)
+    for row, at, text in places:
+        if first[text] < at and not (first[text][:3] == at[:3] and at[3] < first[text][3] + len(text)):
+            gone[row].update(range(at[3], at[3] + len(text)))
+    return own, gone
+
+
+def xxhash64(text):
+    import xxhash
+    x = xxhash.xxh64_intdigest(text.encode(), 42)
+    return x - (1 << 64) if x >> 63 else x
+
+
+@pytest.mark.parametrize("length", [2, 3, 4, 6, 10, 20])
+def test_line_dedup_short_passages(spark, length):
+    """A passage of any length from two lines on goes whole from the later copy."""
+    rows = []
+    for p in range(20):
+        passage = "\n".join(f"passage {p} of {length} line {k}" for k in range(length))
+        rows += [(2 * p + c, f"own {p} {c}\nsecond {p} {c}\n{passage}\nlast {p} {c}") for c in (0, 1)]
+    out = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), runs=True)
+    no_python(out)
+    for r in out.collect():
+        p, c = divmod(r.doc_id, 2)
+        assert r.n_removed_lines == c * length
+        assert r.kept_text == (f"own {p} {c}\nsecond {p} {c}\nlast {p} {c}" if c else r.text)
+
+
+def test_line_dedup_runs_against_brute(spark, rows):
+    more = rows + [(300, "la\nla\nla\nla\nla"), (301, "la\n\nla"), (302, "x\nla\nla"), (303, None), (304, ""), (305, "\n\n"),
+                   (306, "a\nb\n\nc"), (307, "b\n\nc\nd"), (308, "b\nc"), (309, "q\nr"), (309, "z\nq\nr"), (None, "q\nr\ns"),
+                   (None, "t\nu"), (None, "t\nu\nv"), (310, "a\nb"), (310, "a\nb")]
+    own, gone = brute_runs(more)
+    got = lines.dedup(data.frame(spark, more), runs=True).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(more)
+    kept = set()
+    for r in got:
+        if r.text is None:
+            assert r.kept_text is None and r.n_removed_lines == 0
+            continue
+        x, away = own[r.doc_id, r.text], gone[r.doc_id, r.text]
+        want = [line for k, line in enumerate(x) if k not in away]
+        left = r.kept_text.split("\n")
+        # blank lines of a chunk that goes whole go too
+        assert [y for y in left if y.strip()] == [y for y in want if y.strip()]
+        assert r.n_lines == len(x) and r.n_removed_lines >= len(away)
+        kept.update(left)
+    assert all(line in kept for x in own.values() for line in x if brute.SPACE_WORD.search(line))  # nothing is lost
+
+
+def test_line_dedup_query_takes_short_passages(spark, tmp_path):
+    from claimtext.llm.queries import op7_line_dedup
+    rows = [(k, f"own {k}\nshared one\nshared two\nshared three\nend {k}") for k in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_removed_lines for r in op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {k: 3 * (k > 0) for k in range(30)}
