@@ -359,3 +359,45 @@ def test_line_dedup_query_takes_short_passages(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.n_removed_lines for r in op7_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {k: 3 * (k > 0) for k in range(30)}
+
+
+OTHER_PROSE = {
+    "id": "Pagi itu petani yang tua pergi ke sawah dengan anaknya karena hujan sudah turun. Mereka membawa bibit padi dan "
+          "bekerja sampai siang di bawah matahari. Setelah itu ibu datang dengan nasi hangat untuk semua orang yang lapar. "
+          "Air dari sungai mengalir pelan ke ladang, dan burung kecil bernyanyi di pohon. Malam tiba, lalu keluarga itu "
+          "pulang ke rumah mereka di desa.",
+    "sw": "Mkulima mzee alikwenda shambani na mtoto wake kwa sababu mvua ilinyesha usiku. Walibeba mbegu za mahindi na "
+          "kufanya kazi hadi mchana chini ya jua kali. Baadaye mama alileta chakula cha moto kwa watu wote. Maji ya mto "
+          "yalitiririka polepole katika bustani, na ndege wadogo waliimba juu ya mti. Usiku ulipofika familia ilirudi "
+          "nyumbani kwa furaha kubwa sana.",
+    "sv": "Den gamla bonden gick ut på åkern med sin son när regnet hade slutat. De bar säckar och arbetade till middag under "
+          "solen som var stark. Sedan kom mor med varm mat till alla som hade varit ute. Vattnet från ån rann sakta över "
+          "ängen, och små fåglar sjöng i träden. När kvällen kom gick familjen hem till byn och sov.",
+    "vi": "Người nông dân già đi ra đồng với con trai của ông khi mưa đã tạnh. Họ mang hạt giống và làm việc đến trưa dưới "
+          "ánh nắng. Sau đó mẹ mang cơm nóng đến cho mọi người. Nước từ sông chảy chậm vào ruộng, và những con chim nhỏ hát "
+          "trên cây. Khi đêm đến gia đình trở về nhà ở trong làng.",
+    # Samoan and Maori have no list
+    "sm": "Na alu le tamaloa i le faatoaga ma lona atalii ina ua uma le timu. Sa la ave fatu ma galulue i le la vevela. Mulimuli "
+          "ane sa sau le tina ma le taumafa mo tagata uma. O le vai sa tafe lemu i le laueleele, ma sa pepese manu laiti i luga "
+          "o le laau. Ina ua po, sa toe foi le aiga i le nuu.",
+    "mi": "I haere te kaumatua ki te mara me tana tama i te mutunga o te ua. I kawea e raua nga purapura me te mahi i raro i te "
+          "ra. Muri iho ka tae mai te whaea me te kai wera mo nga tangata katoa. I rere te wai o te awa ki te mara, a ka waiata "
+          "nga manu iti i runga i te rakau. I te po ka hoki te whanau ki te kainga.",
+}
+
+
+def test_quality_other_languages(spark):
+    """Clean prose in languages without stop words is kept; word lists and menus are not."""
+    rng = __import__("random").Random(2)
+    menu = "Login Register Products Services Download Gallery Support Pricing Careers Partners Events Blog Press Shop Cart".split()
+    junk = {"menu": " ".join(f"{w} {w[::-1]}" for w in menu * 2), "random": " ".join(
+        "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(2, 9))) for _ in range(90)),
+        "keywords": " ".join(rng.sample([f"{a}{b}" for a in ("foto", "video", "mp3", "game", "hotel") for b in menu], 70))}
+    df = spark.createDataFrame(list((OTHER_PROSE | junk).items()), "doc_id string, text string")
+    judged = quality.judge(df)
+    no_python(judged)
+    got = {r.doc_id: r for r in judged.collect()}
+    assert all(r.n_words >= 50 for r in got.values())
+    assert {k for k, r in got.items() if r.kept} == set(OTHER_PROSE)
+    assert {r.doc_id for r in quality.keep(df).collect()} == set(OTHER_PROSE)
+    assert "kept" in judged.columns and judged.columns[:2] == ["doc_id", "text"] and len(judged.columns) == 13
