@@ -75,3 +75,9 @@ def computed(df: DataFrame, columns: dict[str, Column], *others: Column) -> Data
     one = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
     out = df.select(*others, F.explode_outer(one).alias(made))
     return out.select(*[quoted(c) for c in out.columns[:-1]], *[F.col(f"{made}.`{n}`").alias(n) for n in columns])
+
+
+def remove_folder(spark, path: str) -> None:
+    """Delete a folder that the job wrote below the checkpoint folder and has read to the end."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimtext.llm import (decontaminate, language, lines, mixing, quality, quotes, sharding, simhash, substrings,
-                           tokens)
+from claimtext.llm import (alignment, decontaminate, language, lines, mixing, quality, quotes, sharding, simhash,
+                           substrings, tokens)
 from claimtext.llm.common import table
 from claimtext.session import ensure_checkpoint_dir
 
@@ -130,3 +130,13 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard(sized).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register("op11_alignment")
+def op11_alignment(spark: SparkSession, sf: str, a: str | None = None, b: str | None = None) -> DataFrame:
+    if a is None or b is None:
+        import public_tokenizers
+        a, b = a or public_tokenizers.path("byte_bpe_50k.json"), b or public_tokenizers.path("piece_bpe_32k.model")
+    with open(a, encoding="utf-8") as f, open(b, "rb") as g:
+        definition, model = f.read(), g.read()
+    return alignment.align(_documents(spark, sf, "text"), definition, model).drop("text")
