@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimtext.llm import (alignment, decontaminate, language, lines, mixing, quality, quotes, sharding, simhash,
-                           substrings, tokens)
-from claimtext.llm.common import table
+from claimtext.llm import (alignment, decontaminate, language, lines, mixing, quality, quotes, repair, sharding,
+                           simhash, substrings, tokens)
+from claimtext.llm.common import checkpointed, remove_folder, table
 from claimtext.session import ensure_checkpoint_dir
 
 QUERIES: dict = {}
@@ -140,3 +140,25 @@ def op11_alignment(spark: SparkSession, sf: str, a: str | None = None, b: str |
     with open(a, encoding="utf-8") as f, open(b, "rb") as g:
         definition, model = f.read(), g.read()
     return alignment.align(_documents(spark, sf, "text"), definition, model).drop("text")
+
+
+@register("op13_repair")
+def op13_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return repaired(table(spark, sf, "conversations"))
+
+
+def repaired(conversations: DataFrame) -> DataFrame:
+    """The damage and the repair of each conversation; one whose rows are all dropped has zeros and nothing."""
+    spark = conversations.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/repair-{uuid.uuid4().hex}"
+    report, rows = repair.repair(repair.damage(conversations), folder)
+    out = conversations.select("conv_id").distinct()
+    for k, part in enumerate((report, repair.digests(rows))):
+        other = part.withColumnRenamed("conv_id", f"_{k}")
+        out = out.join(other, F.col("conv_id").eqNullSafe(F.col(f"_{k}")), "left").drop(f"_{k}")
+    out = checkpointed(out.select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in repair.REPORT],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")))
+    remove_folder(spark, folder)
+    return out
