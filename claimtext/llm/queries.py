@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimtext.llm import (alignment, decontaminate, language, lines, mixing, quality, quotes, repair, sharding,
-                           simhash, substrings, tokens)
+from claimtext.llm import (alignment, decontaminate, discriminant, language, lines, mixing, quality, quotes, repair,
+                           sharding, simhash, substrings, tokens)
 from claimtext.llm.common import checkpointed, remove_folder, table
 from claimtext.session import ensure_checkpoint_dir
 
@@ -142,6 +142,14 @@ def op11_alignment(spark: SparkSession, sf: str, a: str | None = None, b: str |
     return alignment.align(_documents(spark, sf, "text"), definition, model).drop("text")
 
 
+@register("op12_discriminant")
+def op12_discriminant(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf, "text").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    rows = checkpointed(discriminant.with_statistics(docs))
+    learnt = discriminant.labelled(rows.where(~F.col("held_out")), table(spark, sf, "labels"), "doc_id", "quality")
+    return discriminant.score(rows, discriminant.fit(learnt))
+
+
 @register("op13_repair")
 def op13_repair(spark: SparkSession, sf: str) -> DataFrame:
     return repaired(table(spark, sf, "conversations"))
