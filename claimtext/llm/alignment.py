@@ -14,9 +14,11 @@ their counts by pair.  Measures go back to the rows by the text's SHA-256.
 Texts of more than a thousandth of the rows, which are fewer than a thousand,
 take a broadcast join, so no copy group meets in one task.
 
-A long text is encoded in pieces, cut where one space stands between two
-characters that are no white space: there both tokenizers always part, which
-is checked for the given files (others encode whole texts).
+Where one space stands between two characters that are no white space, both
+tokenizers always part, which is checked for the given files (others encode
+whole texts).  So each distinct unit between such places, mostly a word, is
+aligned once for as long as a worker's memo has it, and a text is put together
+from its units, a long one piece by piece.
 
 Defined results: null and empty texts, and texts whose tokens of either side do
 not spell a space and the text, have no tokens: zeros and ''.  Repeated rows
@@ -45,10 +47,14 @@ from claimtext.session import ensure_checkpoint_dir
 
 FREQUENT = 1 << 21  # pairs whose counts are broadcast at most: 17 bytes each
 HOT = 1000  # a text of more than this part of the rows is joined by broadcast
-CHUNK = 1 << 20  # characters that are encoded at once
-PIECE = 1 << 18  # characters of a piece of a long text, at least
+CHUNK = 1 << 18  # characters that are encoded at once
+PIECE = 1 << 17  # characters of a piece of a long text, at least
 MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+UNITS = 60_000  # units that a worker's memo has at most, before a chunk
+ENCODED = 16_384  # units that are encoded at once
+TOGETHER = 1024  # of them, those that are one text for the tokenizers
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_WIDE = re.compile(r" \s|\s ")
 _ALIGNED = "key string, copies long, n_a long, n_b long, n_groups long, groups_sha256 string, links array<long>"
 
 
@@ -85,6 +91,7 @@ class Aligner:
         self.written = ([f"{i}{end}" for i in range(len(self.bytes_a)) for end in ",|"]
                         + [f"{i}{end}" for i in range(len(self.bytes_b)) for end in ",;"])
         self.parts = parts_at_space(definition, pieces) and self._keeps_text()
+        self.forget()
 
     def _keeps_text(self) -> bool:
         """Whether B adds one space in front and neither folds characters nor drops spaces."""
@@ -101,40 +108,92 @@ class Aligner:
             start = cut.end()
         return [*out, text[start:]]
 
+    def units(self, text: str) -> list[str]:
+        """The text cut at every place where both tokenizers part: mostly words."""
+        if not self.parts:
+            return [text]
+        return _CUT.split(text) if text[:1] == " " or text[-1:] == " " or _WIDE.search(text) else text.split(" ")
+
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of A and B for each text; empty where they do not spell it."""
         ids_a = [x.ids for x in self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
         ids_b = self.b.encode(texts, num_threads=1)
+        bytes_a, bytes_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
         for k, text in enumerate(texts):
             spelt = b" " + text.encode()
-            if not text or spelt != b"".join(map(self.bytes_a.__getitem__, ids_a[k])) or spelt != b"".join(
-                    map(self.bytes_b.__getitem__, ids_b[k])):
+            if not text or spelt != b"".join(map(bytes_a, ids_a[k])) or spelt != b"".join(map(bytes_b, ids_b[k])):
                 ids_a[k], ids_b[k] = [], []
         return ids_a, ids_b
 
-    def groups(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
-        """For each text n_a, n_b, n_groups and the groups, each with its last ';'; the links of all, in order."""
-        ids_a, ids_b = self.encode(texts)
-        n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in (ids_a, ids_b))
-        a = np.fromiter(chain.from_iterable(ids_a), np.int64, n_a.sum())
-        b = np.fromiter(chain.from_iterable(ids_b), np.int64, n_b.sum())
-        # both sides spell the same bytes, so one count of bytes runs over all texts
+    def groups(self, units: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """n_a, n_b and n_groups of each unit, its groups, each with a last ';', and the links of all, in order."""
+        ids_a, ids_b, spelt = [], [], np.zeros(len(units), bool)
+        for at, a, b in self._encoded(units):
+            spelt[at:at + a[1]] = bool(b)
+            ids_a.append(a[0])
+            ids_b.append(b)
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64, sum(map(len, x))) for x in (ids_a, ids_b))
+        # both sides spell the same bytes, so one count of bytes runs over all units
         end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         ends = np.intersect1d(end_a, end_b, assume_unique=True)
         last_a, last_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
         group_a, group_b = np.searchsorted(ends, end_a), np.searchsorted(ends, end_b)
-        text_ends = np.r_[0, end_a][np.cumsum(n_a)] if len(texts) else np.zeros(0, np.int64)
-        n_groups = np.diff(np.searchsorted(ends, text_ends, "right"), prepend=0)
+        unit_ends = np.cumsum([1 + len(u.encode()) if ok else 0 for u, ok in zip(units, spelt.tolist())])
+        counts = np.stack([np.diff(np.searchsorted(x, unit_ends, "right"), prepend=0) for x in (end_a, end_b, ends)])
         written = np.empty(len(a) + len(b), np.int64)
         code_a, code_b = 2 * a, 2 * (len(self.bytes_a) + b)
         code_a[last_a] += 1
         code_b[last_b] += 1
         written[np.arange(len(a)) + np.searchsorted(group_b, group_a, "left")] = code_a
         written[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = code_b
-        bounds = np.cumsum(n_a + n_b)
-        shown = ["".join(map(self.written.__getitem__, written[i:j].tolist()))
-                 for i, j in zip(np.r_[0, bounds[:-1]].tolist(), bounds.tolist())]
-        return n_a, n_b, n_groups, shown, a[last_a] * len(self.bytes_b) + b[last_b]
+        bounds, codes, shown = np.cumsum(counts[0] + counts[1]).tolist(), written.tolist(), self.written.__getitem__
+        return counts, ["".join(map(shown, codes[i:j])) for i, j in zip([0, *bounds], bounds)], (
+            a[last_a] * len(self.bytes_b) + b[last_b])
+
+    def _encoded(self, units: list[str]) -> Iterator[tuple[int, tuple[list[int], int], list[int]]]:
+        """(first unit, (ids of A, number of units), ids of B), in order; units are encoded together where they may be."""
+        lone = [not self.parts or u[:1].isspace() or u[-1:].isspace() for u in units]
+        begins = [k for k in range(len(units)) if k % TOGETHER == 0 or lone[k] or lone[k - 1]]
+        texts = [" ".join(units[i:j]) for i, j in zip(begins, [*begins[1:], len(units)])]
+        for i, j, a, b in zip(begins, [*begins[1:], len(units)], *self.encode(texts)):
+            if a or j == i + 1:
+                yield i, (a, j - i), b
+            else:  # one of them is not spelt
+                for k, x, y in zip(range(i, j), *self.encode(units[i:j])):
+                    yield k, (x, 1), y
+
+    def learn(self, units: list[str]) -> None:
+        """Align the units that the memo lacks; it is emptied first if it is full."""
+        if len(self.memo) > UNITS:
+            self.forget()
+        new = list({u for u in units if u not in self.memo})
+        for k in range(0, len(new), ENCODED):
+            part = new[k:k + ENCODED]
+            counts, shown, links = self.groups(part)
+            self.memo.update(zip(part, range(len(self.shown), len(self.shown) + len(part))))
+            self.shown.extend(shown)
+            self.counts = np.concatenate([self.counts, counts], axis=1)
+            self.links = np.concatenate([self.links, links])
+        self.first = np.cumsum(self.counts[2]) - self.counts[2]
+
+    def forget(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.shown: list[str] = []
+        self.counts, self.links, self.first = np.zeros((3, 0), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def align(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+        """(n_a, n_b, n_groups) of each text, whether it is spelt, its groups with a last ';', all links in order."""
+        units = [self.units(t) for t in texts]
+        flat = list(chain.from_iterable(units))
+        self.learn(flat)
+        place = np.fromiter(map(self.memo.__getitem__, flat), np.int64, len(flat))
+        bounds = np.cumsum([0, *map(len, units)])
+        counts = np.add.reduceat(self.counts[:, place], bounds[:-1], axis=1)
+        spelt = np.minimum.reduceat(self.counts[2, place], bounds[:-1]) > 0
+        size = self.counts[2, place]
+        take = np.repeat(self.first[place] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        places, at, shown = place.tolist(), bounds.tolist(), self.shown.__getitem__
+        return counts, spelt, ["".join(map(shown, places[i:j])) for i, j in zip(at, at[1:])], self.links[take]
 
 
 def parts_at_space(definition: str, pieces: list[str]) -> bool:
@@ -179,21 +238,19 @@ def aligned_texts(aligner: Aligner, texts: list[str]) -> tuple[np.ndarray, list[
     links: list[list[np.ndarray]] = [[] for _ in texts]
     bad = np.zeros(len(texts), bool)
     for pieces, owners in _chunks(aligner, texts):
-        n_a, n_b, n_groups, shown, pairs = aligner.groups(pieces)
-        np.add.at(counts, (slice(None), owners), np.stack([n_a, n_b, n_groups]))
+        found, spelt, shown, pairs = aligner.align(pieces)
+        np.add.at(counts, (slice(None), owners), found)
+        np.logical_or.at(bad, owners, ~spelt)
         at = 0
-        for k, piece, n, groups in zip(owners, pieces, n_groups.tolist(), shown):
-            bad[k] |= n == 0
+        for k, n, groups in zip(owners, found[2].tolist(), shown):
             links[k].append(pairs[at:at + n])
             at += n
             if digests[k] is None:
-                digests[k] = [hashlib.sha256(), ""]
-            sha, held = digests[k]
-            sha.update(held.encode())  # the last ';' of a text is not hashed: hold each piece's back
-            sha.update(groups[:-1].encode())
-            digests[k][1] = groups[-1:]
+                digests[k] = hashlib.sha256(groups[:-1].encode())
+            else:
+                digests[k].update(b";" + groups[:-1].encode())
     counts[:, bad] = 0
-    return (counts, ["" if wrong or d is None else d[0].hexdigest() for d, wrong in zip(digests, bad)],
+    return (counts, ["" if wrong or d is None else d.hexdigest() for d, wrong in zip(digests, bad)],
             [np.concatenate(x) if x and not wrong else np.zeros(0, np.int64) for x, wrong in zip(links, bad)])
 
 

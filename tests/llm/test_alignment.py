@@ -77,7 +77,8 @@ def test_alignment_is_that_of_the_contract(spark, files, monkeypatch):
     want = plain(rows, *files)
     assert got(alignment.align(frame(spark, rows), *files)) == want
     # short pieces and chunks, most pairs counted through the join, hot texts joined apart
-    for name, value in (("PIECE", 50), ("CHUNK", 400), ("HOT", 4)):
+    for name, value in (("PIECE", 50), ("CHUNK", 400), ("HOT", 4), ("UNITS", 30), ("ENCODED", 70),
+                        ("TOGETHER", 8)):
         monkeypatch.setattr(alignment, name, value)
     assert got(alignment.align(frame(spark, rows), *files, frequent=20)) == want
 
@@ -94,6 +95,7 @@ def test_pieces_keep_the_tokens(files):
     finally:
         alignment.PIECE = old
     assert [sum(side, []) for side in parts] == [side[0] for side in whole] and len(parts[0]) > 50
+    assert [aligner.units(t) for t in (" a b ", "a\n b", "c d\te", "f  g")] == [[" a", "b "], ["a\n b"], ["c", "d\te"], ["f  g"]]
 
 
 def test_empty_table_and_clashing_names(spark, files):
