@@ -157,14 +157,22 @@ def process_tokens(c, stem=None, distinct: bool = False) -> Column:
     The order is semantic: folding happens before the first stop pass, so
     accented stop words survive it, and apostrophes are split only after it.
     """
-    s = remove_punctuation(lower(remove_numbers(fold(_col(c)))))
-    t = remove_stop_words(ws_tokens(s))
-    t = ws_tokens(remove_apostrophe(F.array_join(t, " ")))
+    t = unstemmed_tokens(c)
     if stem is not None:
         t = stem(t)
-    if distinct:
-        t = remove_duplicates(t)
-    return remove_stop_words(t)
+    return after_stems(t, distinct)
+
+
+def unstemmed_tokens(c) -> Column:
+    """The chain up to the stems."""
+    s = remove_punctuation(lower(remove_numbers(fold(_col(c)))))
+    t = remove_stop_words(ws_tokens(s))
+    return ws_tokens(remove_apostrophe(F.array_join(t, " ")))
+
+
+def after_stems(tokens, distinct: bool = False) -> Column:
+    """The chain from the stems on."""
+    return remove_stop_words(remove_duplicates(tokens) if distinct else tokens)
 
 
 def process_string(c, stem=None) -> Column:

@@ -532,16 +532,15 @@ qclean AS (SELECT item_id, string_agg(word || ' ', '' ORDER BY word) AS clean FR
 def topk_labels_stem(spark, sf):
     """R8 on the reference's default path: stemmed vocabulary filter, stemmed
     query cleaning, stemmed corpus."""
-    from claimtext.functions.stem import stem_tokens_ignore_stop
     b = V.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     vocab = VO.vocabulary(V.read(spark, sf, "documents"), "text", stem=True)
     f = VO.vocabulary_filter(b, ["query_id"], "text", vocab, tokenizer="raw", stem=True, out_col="kept",
                              keep_original=True)
-    c = V.read(spark, sf, "documents").select(
-        "doc_id", TX.process_string("text", stem=stem_tokens_ignore_stop).alias("clean"),
-        F.col("doc_id").alias("code"), F.col("source").alias("label"))
-    res = RT.retrieve(RT.fit(c, "doc_id", "clean"), f, c.select("doc_id", "code", "label"), TOP_K,
-                      query_id="query_id", text_col="kept", diagnostic_col="text", stem=stem_tokens_ignore_stop)
+    docs = V.read(spark, sf, "documents")
+    c = VO.process_strings(docs.select("doc_id", "text"), "doc_id", "text", "clean")
+    labels = docs.select("doc_id", F.col("doc_id").alias("code"), F.col("source").alias("label"))
+    res = RT.retrieve(RT.fit(c, "doc_id", "clean"), f, labels, TOP_K,
+                      query_id="query_id", text_col="kept", diagnostic_col="text", stem=True)
     return _flat_codes(res)
 
 

@@ -28,6 +28,8 @@ def get_spark(cores: int | str = "8", shuffle_partitions: int = 8, app: str = "c
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        # call sites of every column operation cost more than small plans take to run
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("CLAIMTEXT_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )

@@ -212,3 +212,28 @@ def test_lexicon_with_capitals_matches_in_any_case(spark):
     df = spark.createDataFrame([(1, "Entorse GENOU gauche", True, False, False, None)], SCHEMA)
     assert [(r["phrase"], r["side"]) for r in extract_tuples(df, lexicon=lex).collect()] == [("entorse genou gauche", "gauche")]
     assert "(?i" not in base_pattern("\\bgenou\\b|\\W")
+
+
+def test_required_literals():
+    from claimtext.functions.patterns import required_literal, required_literals
+    assert required_literal("\\bfesse(s)?\\b") == "fesse" and required_literal("\\bav bras\\b") == "av bras"
+    assert required_literal("a|b") is None and required_literal("(x)?") is None and required_literal("\\bGenou\\b") is None
+    assert required_literal("bras+") == "bra" and required_literal("(?i)bras") is None and required_literal("a(") is None
+    assert required_literals(["bras", "avant bras", "main"]) == ["bras", "main"] and required_literals(["bras", "[ab]"]) is None
+
+
+def test_every_default_pattern_holds_its_literals():
+    """Any text that a pattern matches has one of the member's literals: checked on words made from the patterns."""
+    import itertools
+    import re
+    lex = Lexicon.default(fix_hanche=True)
+    for member, (_, patterns) in lex.entries.items():
+        literals = lex.spec(member).literals
+        assert literals, member
+        for p in patterns:
+            parts = [x if x.startswith("(") else [x] for x in re.findall(r"\([^)]*\)\??|[^()]+", p.replace("\\b", ""))]
+            options = [x if isinstance(x, list) else (["", *x[1:-2].split("|")] if x.endswith("?") else x[1:-1].split("|"))
+                       for x in parts]
+            for word in map("".join, itertools.product(*options)):
+                if re.search(p, word):
+                    assert any(x in word for x in literals), (member, p, word)

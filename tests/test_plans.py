@@ -65,3 +65,15 @@ def test_every_query_reads_the_tables(spark):
     from tests.conftest import SF001
     for name, fn in catalog.QUERIES.items():
         assert "FileScan parquet" in plan(fn(spark, SF001)), name
+
+
+def test_stems_are_of_distinct_words(spark):
+    """One Python node, above the aggregate that makes the words distinct; none over rows in the stemmed retrieval."""
+    lines = plan(catalog.QUERIES["vocabulary_stem"](spark, SF01)).split("\n")
+    python = [i for i, x in enumerate(lines) if "ArrowEvalPython" in x]
+    assert len(python) == 1 and any("HashAggregate" in x for x in lines[python[0] + 1:])
+    df = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text")
+    from claimtext.operators import vocab as VO
+    lines = plan(VO.process_strings(df, "doc_id", "text", "clean")).split("\n")
+    python = [i for i, x in enumerate(lines) if "ArrowEvalPython" in x]
+    assert len(python) == 1 and "HashAggregate" in "".join(lines[python[0] + 1:python[0] + 3])

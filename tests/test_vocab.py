@@ -1,5 +1,7 @@
 """Vocabulary building and the vocabulary filter."""
 
+from pyspark.sql import functions as F
+
 from claimtext.operators import vocab as VO
 
 
@@ -87,3 +89,30 @@ def test_filter_carries_columns_once_and_handles_odd_rows(spark):
     even = spark.createDataFrame([(f"w{k}",) for k in range(0, 700, 2)], "word string").hint("merge")
     out = VO.vocabulary_filter(long, "id", "phrase", even, stem=False).first()["phrase"]
     assert out == "".join(w + " " for w in words if int(w[1:]) % 2 == 0)
+
+
+def test_process_strings_is_the_stemmed_chain(spark):
+    from claimtext.functions import text as TX
+    from claimtext.functions.stem import stem_tokens_ignore_stop
+    from claimtext.operators import vocab as VO
+    rows = [(1, "Les fractures du poignet, fracturé; l'entorse l'entorse", "x"), (2, None, "y"), (3, "", None),
+            (4, "douleurs douleurs DOULEUR aux mains", "z"), (None, "genoux blessés", "n")]
+    df = spark.createDataFrame(rows, "id long, text string, other string").withColumn("k", F.coalesce("id", F.lit(-1)))
+    for distinct, chain in ((False, TX.process_string), (True, TX.process_string_distinct)):
+        want = {r.k: (r.t, r.other) for r in df.select("k", "other", chain("text", stem=stem_tokens_ignore_stop).alias("t")).collect()}
+        got = {r.k: (r.t, r.other) for r in VO.process_strings(df, "k", "text", "t", distinct=distinct).collect()}
+        assert {k: (t or "", o) for k, (t, o) in want.items()} == {k: (t or "", o) for k, (t, o) in got.items()}
+
+
+def test_stored_dictionary_stems_unseen_words_only(spark, tmp_path):
+    from claimtext.operators import vocab as VO
+    path = str(tmp_path / "stems")
+    one = spark.createDataFrame([(["fractures", "mains", None],), (["mains"],), (None,)], "t array<string>")
+    two = spark.createDataFrame([(["mains", "genoux"],)], "t array<string>")
+    assert {r.token for r in VO.add_to_stem_dictionary(one, "t", path).collect()} == {"fractures", "mains"}
+    # a stored stem is kept, so the word was not stemmed again
+    spark.createDataFrame([("genoux", "kept")], "token string, stem string").write.mode("append").parquet(path)
+    got = {r.token: r.stem for r in VO.add_to_stem_dictionary(two, "t", path).collect()}
+    assert got["genoux"] == "kept" and got == {r.token: r.stem for r in VO.add_to_stem_dictionary(two, "t", path).collect()}
+    out = VO.stemmed_tokens(two.withColumn("id", F.lit(1)), "id", "t", spark.read.parquet(path)).first()
+    assert out.t == [got["mains"], "kept"]
