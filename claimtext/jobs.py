@@ -21,6 +21,7 @@ from claimtext.operators import extract as EX
 from claimtext.operators import hierarchy as HI
 from claimtext.operators import retrieve as RT
 from claimtext.operators import vocab as VO
+from claimtext.sources import bundle as BU
 from claimtext.sources import html as HT
 from claimtext.sources import tables as TB
 from claimtext.sources import text_files as TF
@@ -58,6 +59,12 @@ def save_detection_variables(spark: SparkSession, flag_columns: list[str], root:
     TB.save_artifacts(detection_variables(spark, flag_columns), root)
 
 
+def save_detection_bundle(spark: SparkSession, flag_columns: list[str], vocabulary: DataFrame, root: str,
+                          version: str | None = None) -> str:
+    """S3, M6: members, columns, sides and the vocabulary as one checked bundle (``BU.load_bundle`` opens it)."""
+    return BU.save_bundle(detection_variables(spark, flag_columns) | {"vocabulary": vocabulary}, root, version)
+
+
 # --- jobs ------------------------------------------------------------------------
 
 def job_vocabulary(spark: SparkSession, text_path: str, out: str, stem: bool = True) -> None:
@@ -123,34 +130,84 @@ def read_hierarchy(spark: SparkSession, path: str, fmt: str = "csv") -> DataFram
     return TB.read_table(spark, path, fmt=fmt, schema=schema)
 
 
+def _hierarchy_corpus(spark: SparkSession, path: str, fmt: str, stem: bool, remove_duplicate: bool) -> DataFrame:
+    """(doc_id, diagnostic_num, diagnostic, doc) of a hierarchy table."""
+    h = read_hierarchy(spark, path, fmt)
+    h = h.select(*[F.nullif(F.col(c).cast("string"), F.lit("")).alias(c) for c in h.columns])  # as the CSV reads them
+    # the key orders ties by content, the same for any number of files and either format
+    key = F.struct("diagnostic_num", *[c for c in h.columns if c != "diagnostic_num"])
+    corpus = h.select(key.alias("doc_id"), "diagnostic_num", "diagnostic",
+                      HI.hierarchy_corpus(h, remove_duplicate=remove_duplicate, stem=stem_tokens_ignore_stop if stem else None)
+                      .alias("doc"))
+    return corpus.dropDuplicates(["doc_id"]).checkpoint(eager=True)
+
+
+def job_fit(spark: SparkSession, hierarchy_path: str, model_root: str, stem: bool = True, remove_duplicate: bool = False,
+            hierarchy_format: str = "csv", version: str | None = None, add: bool = False) -> str:
+    """Fit the hierarchy corpus once and store model and labels as a bundle; ``add`` adds its codes to the last version."""
+    from claimtext.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    stem, remove_duplicate = _flag(stem), _flag(remove_duplicate)
+    settings = {"stem": stem, "remove_duplicate": remove_duplicate}
+    corpus = _hierarchy_corpus(spark, hierarchy_path, hierarchy_format, stem, remove_duplicate)
+    labels = corpus.select("doc_id", F.col("diagnostic_num").alias("code"), F.col("diagnostic").alias("label"))
+    before = BU.load_bundle(spark, model_root, settings=settings) if _flag(add) else None
+    return RT.save_model(corpus, model_root, "doc_id", "doc", labels=labels, settings=settings, version=version, before=before)
+
+
+def _opened(spark: SparkSession, hierarchy_path: str, model_root: str, stem: bool, remove_duplicate: bool, fmt: str):
+    """The stored model for these settings and its labels; fitted and stored first if there is none."""
+    settings = {"stem": stem, "remove_duplicate": remove_duplicate}
+    bundle = BU.load_bundle(spark, model_root, settings=settings)
+    if bundle is None:
+        job_fit(spark, hierarchy_path, model_root, stem, remove_duplicate, fmt)
+        bundle = BU.load_bundle(spark, model_root, settings=settings)
+    return RT.open_model(bundle), bundle["labels"]
+
+
 def job_retrieve(spark: SparkSession, hierarchy_path: str, queries_path: str, out: str, k: int = 5,
                  text_col: str = "text", stem: bool = True, remove_duplicate: bool = False,
-                 vocab_path: str | None = None, hierarchy_format: str = "csv") -> None:
-    """Top-k codes for query texts against the hierarchy corpus (P19, R1-R8); with a vocabulary its words alone count (V1-V3)."""
+                 vocab_path: str | None = None, hierarchy_format: str = "csv", model_root: str | None = None) -> None:
+    """Top-k codes for query texts against the hierarchy corpus (P19, R1-R8); with a vocabulary its words alone count (V1-V3).
+
+    With ``model_root`` the stored model is opened, and only fitted when none is there.
+    """
     from claimtext.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     k, stem, remove_duplicate = int(k), _flag(stem), _flag(remove_duplicate)
-    h = read_hierarchy(spark, hierarchy_path, hierarchy_format)
-    st = stem_tokens_ignore_stop if stem else None
-    h = h.select(*[F.nullif(F.col(c).cast("string"), F.lit("")).alias(c) for c in h.columns])  # as the CSV reads them
-    # the key orders ties by content, the same for any number of files and either format
-    key = F.struct("diagnostic_num", *[c for c in h.columns if c != "diagnostic_num"])
-    corpus = h.select(key.alias("doc_id"), "diagnostic_num", "diagnostic",
-                      HI.hierarchy_corpus(h, remove_duplicate=remove_duplicate, stem=st).alias("doc"))
-    corpus = corpus.dropDuplicates(["doc_id"]).checkpoint(eager=True)
-    model = RT.fit(corpus, "doc_id", "doc")
+    if model_root:
+        model, labels = _opened(spark, hierarchy_path, model_root, stem, remove_duplicate, hierarchy_format)
+    else:
+        corpus = _hierarchy_corpus(spark, hierarchy_path, hierarchy_format, stem, remove_duplicate)
+        model = RT.fit(corpus, "doc_id", "doc")
+        labels = corpus.select("doc_id", F.col("diagnostic_num").alias("code"), F.col("diagnostic").alias("label"))
     q = spark.read.parquet(queries_path)
     if vocab_path:
         vocab = spark.read.parquet(vocab_path)
         q = VO.vocabulary_filter(q, q.columns[0], text_col, vocab, vocab_col=vocab.columns[0], tokenizer="raw",
                                  stem=stem, out_col="_kept", keep_original=True)
-    res = RT.retrieve(model, q, corpus.select("doc_id", "diagnostic_num", "diagnostic"), k,
-                      query_id=q.columns[0], text_col="_kept" if vocab_path else text_col,
-                      diagnostic_col=text_col, code_col="diagnostic_num",
-                      label_col="diagnostic", stem=st)
+    res = RT.retrieve(model, q, labels, k, query_id=q.columns[0], text_col="_kept" if vocab_path else text_col,
+                      diagnostic_col=text_col, stem=stem or None)
     res.write.mode("overwrite").parquet(out)
 
 
+def job_retrieve_tuples(spark: SparkSession, hierarchy_path: str, tuples_path: str, out: str, model_root: str, k: int = 5,
+                        stem: bool = True, remove_duplicate: bool = False, hierarchy_format: str = "csv",
+                        id_col: str = "claim_id") -> None:
+    """The tuples that ``job_extract`` cleaned -> query text of phrase, member and side -> top-k codes."""
+    from claimtext.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    stem, remove_duplicate = _flag(stem), _flag(remove_duplicate)
+    model, labels = _opened(spark, hierarchy_path, model_root, stem, remove_duplicate, hierarchy_format)
+    tuples = spark.read.parquet(tuples_path)
+    q = tuples.select(F.struct(id_col, "seq").alias("query_id"), "phrase",
+                      RT.query_text_from_tuple("phrase", "member", "side").alias("qtext"))
+    res = RT.retrieve(model, q, labels, int(k), text_col="qtext", diagnostic_col="phrase", stem=stem or None)
+    named = tuples.select(id_col, "seq", "member", "side")
+    res = res.select(f"query_id.{id_col}", "query_id.seq", "Diagnostic", "CIM10s")
+    named.join(res, [id_col, "seq"]).write.mode("overwrite").parquet(out)
+
+
 def job_extract_stream(spark: SparkSession, claims_dir: str, sink_dir: str, checkpoint_location: str,
                        id_col: str = "claim_id", text_col: str = "DescriptionDiagnostic",
                        available_now: str = "true"):
@@ -174,7 +231,7 @@ def main(argv=None) -> None:
     from claimtext.session import ensure_checkpoint_dir
     ap = argparse.ArgumentParser(prog="claimtext.jobs")
     ap.add_argument("job", choices=["vocabulary", "abbreviations", "pages", "extract", "extract_stream",
-                                    "hierarchy", "retrieve"])
+                                    "hierarchy", "fit", "retrieve", "retrieve_tuples"])
     ap.add_argument("args", nargs="+")
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName(f"claimtext-{a.job}").getOrCreate()

@@ -463,6 +463,22 @@ def topk_similar(spark, sf):
     return RT.top_k(m, RT.score(m, qw), q.select("query_id"), TOP_K)
 
 
+@register("topk_stored_model", f"WITH {_TFIDF_CTE}, bq AS ({_BENCH_Q}), {_query_weights_cte('bq')} SELECT * FROM topk")
+def topk_stored_model(spark, sf):
+    """A model stored for the even ids, the other documents added to it, opened and queried."""
+    import uuid
+
+    from claimtext.session import ensure_checkpoint_dir
+    from claimtext.sources import bundle as BU
+    root, c = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}", _corpus(spark, sf)
+    labels = c.select("doc_id", F.col("code").cast("string").alias("code"), "label")
+    first = RT.save_model(c.where(F.col("doc_id") % 2 == 0), root, "doc_id", "clean", labels=labels)
+    second = RT.save_model(c, root, "doc_id", "clean", labels=labels, before=BU.load_bundle(spark, root, first))
+    m = RT.open_model(BU.load_bundle(spark, root, second, verify=True))
+    q = _bench_queries(spark, sf)
+    return RT.top_k(m, RT.score(m, RT.transform(m, q, "query_id", "qclean")), q.select("query_id"), TOP_K)
+
+
 def _labels_sql(qtable_cte: str, diag: str, tfidf_cte: str = _TFIDF_CTE) -> str:
     return f"""WITH {tfidf_cte}, {qtable_cte}, {_query_weights_cte('bq')},
 lab AS (SELECT t.query_id, string_agg(c.doc_id::VARCHAR || ' - ' || c.label, ' | ' ORDER BY t.rank) AS codes
