@@ -1,9 +1,9 @@
 """Token counts through a digest cache.
 
-Each text has the digest of its normalised content: SHA-256 of the text with
-every run of ASCII white space as one space, which the tokenizer's own
-normaliser does too, so texts of one digest have one count.  The tokenizer's
-version is the SHA-256 of its file.  Counts are stored as Parquet under
+Each text has the digest of its normalised content: SHA-256 of the text, with
+every run of ASCII white space as one space where the tokenizer's own
+normaliser drops white space too, so texts of one digest have one count.  The
+tokenizer's version is the SHA-256 of its file.  Counts are stored as Parquet under
 (tokenizer version, content digest).  A run joins its distinct digests to the
 stored counts, encodes one text for each digest that is missing, appends the
 new counts, and joins the counts to the documents.
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,21 +35,22 @@ from claimtext.llm.common import SPACE, fresh, quoted, without
 from claimtext.llm.words import chunks, text_bytes
 
 _CACHE = "digest binary, n_tokens long, tokenizer string"
-MEMO_PIECES = 100_000  # pieces that a worker's memo of counts has at most, before a chunk
-ENCODED = 8192  # pieces that are encoded at once
-CHUNK = 2 << 20  # bytes of text that are split at once
+MEMO_PIECES = 50_000  # pieces that a worker's memo of counts has at most, before a chunk
+ENCODED = 4096  # pieces that are encoded at once
+CHUNK = 1 << 20  # bytes of text that are split at once
 
 
 class Encoder:
     """Counts tokens with the file's tokenizer, piece by piece where that is exact."""
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, by_piece: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer  # in the worker
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.by_piece = splits_at_space(definition)
+        self.by_piece = by_piece
         self.memo: dict[bytes, int] = {}
 
     def _encode(self, texts: list[str]) -> list[int]:
@@ -68,6 +70,17 @@ class Encoder:
         return [sum(map(memo.__getitem__, row)) for row in pieces]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(tokenizer: str, definition: str, by_piece: bool) -> Encoder:
+    """One encoder, with its memo, for a worker process and a tokenizer version."""
+    if tokenizer not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[tokenizer] = Encoder(definition, by_piece)
+    return _ENCODERS[tokenizer]
+
+
 def splits_at_space(definition: str) -> bool:
     """Whether white space always parts tokens: it is dropped before the model, and no special string has any."""
     d = json.loads(definition)
@@ -95,21 +108,30 @@ def read_cache(spark, cache: str, tokenizer: str) -> DataFrame:
     return stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def with_digest(docs: DataFrame, text: str, name: str) -> DataFrame:
-    content = F.regexp_replace(F.coalesce(quoted(text).cast("string"), F.lit("")), f"{SPACE}+", " ")
-    return docs.withColumn(name, F.unhex(F.sha2(content, 256)))
+def content_of(text: str, definition: str):
+    """The text as it is digested: with white space folded only where the tokenizer drops it."""
+    content = F.coalesce(quoted(text).cast("string"), F.lit(""))
+    return F.regexp_replace(content, f"{SPACE}+", " ") if splits_at_space(definition) else content
+
+
+def with_digest(docs: DataFrame, text: str, name: str, definition: str) -> DataFrame:
+    return docs.withColumn(name, F.unhex(F.sha2(content_of(text, definition), 256)))
 
 
 def add_missing(docs: DataFrame, definition: str, cache: str, text: str = "text") -> None:
-    """Encode the distinct contents of docs that the cache lacks, and append their counts."""
-    spark, tokenizer = docs.sparkSession, version(definition)
-    keyed = with_digest(docs.select(quoted(text).cast("string").alias("text")), "text", "digest")
-    distinct = keyed.groupBy("digest").agg(F.first("text").alias("text"))
-    missing = distinct.join(read_cache(spark, cache, tokenizer), "digest", "left_anti")
+    """Encode the distinct contents of docs that the cache lacks, and append their counts.
+
+    Contents are keys of a hash aggregate, which parts copies before the
+    shuffle and sorts no text.
+    """
+    spark, tokenizer, by_piece = docs.sparkSession, version(definition), splits_at_space(definition)
+    contents = docs.select(content_of(text, definition).alias("text")).distinct()
+    keyed = contents.select(F.unhex(F.sha2("text", 256)).alias("digest"), "text")
+    missing = keyed.join(read_cache(spark, cache, tokenizer), "digest", "left_anti")
     shared = spark.sparkContext.broadcast(definition)  # one vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = _encoder(tokenizer, shared.value, by_piece)
         for batch in batches:
             texts = batch.column(1).fill_null("")
             _, offsets = text_bytes(texts)
@@ -132,7 +154,7 @@ def count_tokens(docs: DataFrame, definition: str, cache: str, text: str = "text
     docs = without(docs, *[c for c in ("n_bytes", "n_tokens", "over_limit") if c != text])
     digest, = fresh(docs, "digest")
     counts = read_cache(docs.sparkSession, cache, version(definition)).withColumnRenamed("digest", f"{digest}c")
-    sized = with_digest(docs, text, digest).withColumn(
+    sized = with_digest(docs, text, digest, definition).withColumn(
         "n_bytes", F.coalesce(F.octet_length(quoted(text).cast("string")), F.lit(0)).cast("long"))
     return (sized.join(counts, F.col(digest) == F.col(f"{digest}c"), "left").drop(digest, f"{digest}c")
             .withColumn("over_limit", F.col("n_tokens") > limit))

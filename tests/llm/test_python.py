@@ -153,3 +153,26 @@ def test_sliding_min_and_rows():
     x = np.array([5, 3, 9, 1, 7, 2], np.uint64)
     assert words.sliding_min(x, 4).tolist() == [1, 1, 1] and len(words.sliding_min(x, 9)) == 0
     assert list(words.chunks(np.array([0, 5, 5, 30, 31]), 10)) == [(0, 2), (2, 3), (3, 4)]
+
+
+def test_token_counts_of_a_tokenizer_that_keeps_spaces(spark):
+    """Texts that differ in white space only have counts of their own where the tokenizer keeps it."""
+    import uuid
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from claimtext.llm import tokens
+    from claimtext.session import ensure_checkpoint_dir
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    assert not tokens.splits_at_space(definition)
+    texts = ["a b", "a  b", "a\n\n b", " a b", "a b", None, "", "   "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    cache = f"{ensure_checkpoint_dir(spark)}/spaces-{uuid.uuid4().hex}"
+    library = Tokenizer.from_str(definition)
+    want = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    for _ in range(2):  # the second time from the cache
+        got = {r.doc_id: r.n_tokens for r in tokens.count_tokens(df, definition, cache).collect()}
+        assert [got[k] for k in range(len(texts))] == want
+    assert len(set(want[:3])) > 1 and spark.read.parquet(cache).count() == 6
