@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +45,13 @@ def load_claims(df: DataFrame, text_col: str = "DescriptionDiagnostic", index_co
     return df, cols
 
 
+def content_ids(df: DataFrame, id_col: str) -> DataFrame:
+    """df with an id from each row's content; equal rows are numbered."""
+    digest = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}), 256)
+    among = F.row_number().over(Window.partitionBy("_digest").orderBy(F.lit(1)))
+    return df.withColumn("_digest", digest).withColumn(id_col, F.concat_ws("-", "_digest", among)).drop("_digest")
+
+
 def detection_variables(spark: SparkSession, flag_columns: list[str]) -> dict[str, DataFrame]:
     """M6: the configuration the extraction needs, as small tables."""
     members = spark.createDataFrame([(m,) for m in members_from_columns(flag_columns)], "member string")
@@ -79,10 +86,11 @@ def job_abbreviations(spark: SparkSession, text_path: str, out: str) -> None:
     VO.abbreviation_vocabulary(lines, "line").write.mode("overwrite").parquet(out)
 
 
-def job_pages(spark: SparkSession, pages_path: str, out: str, cls: str = K.PAGE_CONTAINER_CLASS) -> None:
-    """Process 2 (data part): container text of stored pages, appended as text."""
+def job_pages(spark: SparkSession, pages_path: str, out: str, cls: str = K.PAGE_CONTAINER_CLASS,
+              run: str | None = None) -> None:
+    """Process 2 (data part): container text of stored pages, appended as text (S7, S4); a named run appends once."""
     pages = spark.read.parquet(pages_path)
-    TF.append_text(pages.select(HT.container_text("html", cls).alias("t")).na.drop(), out)
+    TF.append_text(pages.select(HT.container_text("html", cls).alias("t")).na.drop(), out, run=run)
 
 
 def job_extract(spark: SparkSession, claims_path: str, vocab_path: str, out_root: str,
@@ -91,13 +99,13 @@ def job_extract(spark: SparkSession, claims_path: str, vocab_path: str, out_root
     """Process 3: tuples (E9) saved, then cleaned against the vocabulary (V1) and saved.
 
     Without an id column the spreadsheet index (``Unnamed: 0``) identifies a
-    claim; failing that an id is generated -- it is fixed once the tuples are
-    written, and the cleaning step reads them back.
+    claim; failing that, the digest of its content and a number among equal
+    claims, so that a rerun gives the same ids.
     """
     raw = spark.read.parquet(claims_path)
     if id_col not in raw.columns:
         raw = (raw.withColumnRenamed("Unnamed: 0", id_col) if "Unnamed: 0" in raw.columns
-               else raw.withColumn(id_col, F.monotonically_increasing_id()))
+               else content_ids(raw, id_col))
     claims, _cols = load_claims(raw, text_col=text_col, id_col=id_col)
     tuples = EX.extract_tuples(claims, id_col, text_col, lexicon=lexicon)
     tuples.write.mode("overwrite").parquet(f"{out_root}/tuples")

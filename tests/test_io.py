@@ -65,3 +65,56 @@ def test_unordered_lines_and_csv_needs_schema(spark):
     assert sorted(r["line"] for r in TF.read_lines(spark, p).collect()) == ["genou", "main"]
     with pytest.raises(ValueError):
         TB.read_table(spark, p, fmt="csv")
+
+
+def test_html_comments_and_quoted_values(spark):
+    from claimtext.sources import html as HT
+    pages = {1: ('<!-- <div class="ad">x</div> --><div class="ad">y</div>', "y "),
+             2: ('<div class="ad"><img alt="1>2">w</div>', "w "),
+             3: ("<div data-a='a>b' class=\"x ad\" title='c>d'>in<p title=\"</div>\">side</p></div>out", "inside "),
+             4: ('<div title=\' class="ad"\'>no</div>', None),
+             5: ('<div class="ad">a < b &amp;&lt; <i title="x>lone</i> &nbsp;&eacute;&copy;</div>', None),
+             6: ("<div class=ad>plain<div>nested <br/></div>!</div>?", "plainnested ! ")}
+    df = spark.createDataFrame([(k, h) for k, (h, _) in pages.items()], "id int, html string")
+    got = {r.id: r.t for r in df.select("id", HT.container_text("html", "ad").alias("t")).collect()}
+    assert got[5] == "a < b &< lone \u00a0é© "
+    assert {k: v for k, v in got.items() if k != 5} == {k: t for k, (_, t) in pages.items() if k != 5}
+
+
+def test_ordered_lines_over_several_splits(spark, tmp_path):
+    """The lines of whole files, read in blocks of a few hundred bytes."""
+    from claimtext.sources import text_files as TF
+    texts = {"a.txt": "\n".join(f"line {i} {'x' * (i % 70)}" if i % 7 else "" for i in range(400)) + "\n",
+             "b.txt": "one\r\ntwo\r\n\r\nfour", "c.txt": "", "d.txt": "\n", "e.txt": "no end " + "é" * 900}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    want = {(n, i, x[:-1] if x.endswith("\r") else x) for n, t in texts.items() if t for i, x in enumerate(t.split("\n"))}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for keep in (False, True):
+            df = TF.read_lines(spark, str(tmp_path), ordered=True, keep_blank=keep)
+            rows = [(r.file.rsplit("/", 1)[1], r.line_no, r.line) for r in df.collect()]
+            assert set(rows) ^ {w for w in want if keep or w[2].strip()} == set() and len(rows) == len(set(rows))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+
+
+def test_a_named_run_appends_once(spark, tmp_path):
+    from claimtext.sources import text_files as TF
+    out = str(tmp_path / "t")
+    df = spark.createDataFrame([("a",), ("b",)], "t string")
+    for run in ("one", "one", "two"):
+        TF.append_text(df, out, run=run)
+    assert sorted(r.value for r in spark.read.text(out).collect()) == ["a", "a", "b", "b"]
+    assert sorted(r.line for r in TF.read_lines(spark, out).collect()) == ["a", "a", "b", "b"]
+
+
+def test_ids_from_content_are_the_same_again(spark):
+    from claimtext import jobs
+    df = spark.createDataFrame([("x", None), ("x", None), ("y", 1)], "a string, b int")
+    ids = [sorted(r.id for r in jobs.content_ids(df.repartition(n), "id").collect()) for n in (1, 3)]
+    assert ids[0] == ids[1] and len(set(ids[0])) == 3
