@@ -188,26 +188,6 @@ def test_line_dedup(spark):
     assert all(got[200 + k][0].kept_text == "x" for k in range(4))  # single lines stay
 
 
-def test_line_dedup_against_groups(spark, rows):
-    """Every removed chunk has an earlier equal one; every kept repeated chunk is the earliest."""
-    df = data.frame(spark, rows)
-    chunk = lines._chunked(df, "text", "l", "e", lines.WIDTH, lines.SPREAD).select(
-        "doc_id", "text", F.explode(lines._chunks("e", "l")).alias("c")).collect()
-    first = {}
-    for r in chunk:
-        if r.c.full >= lines.MIN_LINES:
-            at = (r.doc_id is None, r.doc_id or 0, r.c.at)
-            first[r.c.text] = min(first.get(r.c.text, at), at)
-    want = defaultdict(list)
-    for r in sorted(chunk, key=lambda r: (str(r.doc_id), r.text, r.c.at)):
-        at = (r.doc_id is None, r.doc_id or 0, r.c.at)
-        if not (r.c.full >= lines.MIN_LINES and first[r.c.text] < at):
-            want[r.doc_id, r.text].append(r.c.text)
-    for r in lines.dedup(df).collect():
-        if r.text is not None:
-            assert r.kept_text == "\n".join(want[r.doc_id, r.text])
-
-
 def test_line_dedup_empty_table(spark):
     assert lines.dedup(spark.createDataFrame([], "doc_id long, text string, lines int")).count() == 0
 
@@ -292,65 +272,126 @@ def test_quotation_against_all_pairs(spark):
     assert parents(spark, texts) == want
 
 
-def brute_runs(rows):
-    """{(id, text): kept lines} for runs of two full lines; ids may be null, rows that agree are one."""
-    own = {r: r[1].split("\n") for r in rows if r[1] is not None}
-    tags = {t: xxhash64(t) for _, t in own}
-    first, places = {}, []
-    for (i, t), x in own.items():
-        full = [k for k, line in enumerate(x) if brute.SPACE_WORD.search(line)]
-        for a, b in zip(full, full[1:]):
-            at, text = (i is None, i or 0, tags[t], a), tuple(x[a:b + 1])
-            first[text] = min(first.get(text, at), at)
-            places.append(((i, t), at, text))
-    gone = defaultdict(set)
-    for row, at, text in places:
-        if first[text] < at and not (first[text][:3] == at[:3] and at[3] < first[text][3] + len(text)):
-            gone[row].update(range(at[3], at[3] + len(text)))
-    return own, gone
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
 
 
 def xxhash64(text):
     import xxhash
-    x = xxhash.xxh64_intdigest(text.encode(), 42)
-    return x - (1 << 64) if x >> 63 else x
+    return signed(xxhash.xxh64_intdigest(text.encode(), 42))
+
+
+def rolling(seed, x, y):
+    import struct
+
+    import xxhash
+    h = xxhash.xxh64_intdigest(struct.pack("<i", seed), 42)
+    for v in (x, y):
+        h = xxhash.xxh64_intdigest(struct.pack("<q", v), h)
+    return signed(h)
+
+
+def brute_chunks(full, seed, low):
+    """(first, end) of the chunks of a list of lines without blank ones."""
+    h = [xxhash64(x) for x in full]
+    r = [rolling(seed, *x) * (1 if low else -1) for x in zip(h, h[1:])]
+    pairs = [k for k, x in enumerate(r) if (k == 0 or x < r[k - 1]) and (k == len(r) - 1 or x <= r[k + 1])]
+    cuts = sorted({0, len(full), *pairs, *(k + 2 for k in pairs)})
+    out = []
+    for a, b in zip(cuts, cuts[1:]):
+        out += [(k, min(k + lines.MAX_LINES, b)) for k in range(a, b, lines.MAX_LINES)]
+    return out
+
+
+def brute_line_dedup(rows):
+    """{(id, text): (kept lines, chunks, removed chunks)} by plain loops; rows that agree are one."""
+    own = {r: [x for x in r[1].split("\n") if brute.SPACE_WORD.search(x)] for r in rows if r[1] is not None}
+    place = {r: (r[0] is None, r[0] or 0, xxhash64(r[1])) for r in own}
+    chunks = {r: {c for seed in lines.SEEDS for low in (True, False) for c in brute_chunks(x, seed, low) if c[1] - c[0] > 1}
+              for r, x in own.items()}
+    first = {}
+    for r, x in own.items():
+        for a, b in chunks[r]:
+            first[tuple(x[a:b])] = min(first.get(tuple(x[a:b]), (*place[r], a, r)), (*place[r], a, r), key=lambda p: p[:4])
+    out = {}
+    for r, x in own.items():
+        gone = set()
+        for a, b in chunks[r]:
+            *at, e, of = first[tuple(x[a:b])]
+            if (*at, e) >= (*place[r], a):
+                continue
+            y, f, left, right = own[of], e + b - a, 0, 0
+            while left < min(lines.GROW, a, e) and x[a - left - 1] == y[e - left - 1]:
+                left += 1
+            while right < min(lines.GROW, len(x) - b, len(y) - f) and x[b + right] == y[f + right]:
+                right += 1
+            gone.update(range(a - left, b + right))
+        raw = r[1].split("\n")
+        at = [k for k, line in enumerate(raw) if brute.SPACE_WORD.search(line)]
+        kept = raw[:at[0] if at else len(raw)] if 0 not in gone else []
+        for k, (i, end) in enumerate(zip(at, at[1:] + [len(raw)])):
+            if k not in gone:
+                kept += raw[i:end]
+            elif k + 1 < len(at) and k + 1 not in gone:
+                kept += raw[i + 1:end]
+        of_one = brute_chunks(x, lines.SEEDS[0], True)
+        out[r] = kept, len(of_one), sum(gone >= set(range(*c)) for c in of_one)
+    return out
 
 
 @pytest.mark.parametrize("length", [2, 3, 4, 6, 10, 20])
 def test_line_dedup_short_passages(spark, length):
-    """A passage of any length from two lines on goes whole from the later copy."""
+    """A passage goes whole from the later copy; of two lines, that a boundary may part, most do."""
     rows = []
     for p in range(20):
         passage = "\n".join(f"passage {p} of {length} line {k}" for k in range(length))
         rows += [(2 * p + c, f"own {p} {c}\nsecond {p} {c}\n{passage}\nlast {p} {c}") for c in (0, 1)]
-    out = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), runs=True)
+    out = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     no_python(out)
+    whole = 0
     for r in out.collect():
         p, c = divmod(r.doc_id, 2)
-        assert r.n_removed_lines == c * length
-        assert r.kept_text == (f"own {p} {c}\nsecond {p} {c}\nlast {p} {c}" if c else r.text)
-
-
-def test_line_dedup_runs_against_brute(spark, rows):
-    more = rows + [(300, "la\nla\nla\nla\nla"), (301, "la\n\nla"), (302, "x\nla\nla"), (303, None), (304, ""), (305, "\n\n"),
-                   (306, "a\nb\n\nc"), (307, "b\n\nc\nd"), (308, "b\nc"), (309, "q\nr"), (309, "z\nq\nr"), (None, "q\nr\ns"),
-                   (None, "t\nu"), (None, "t\nu\nv"), (310, "a\nb"), (310, "a\nb")]
-    own, gone = brute_runs(more)
-    got = lines.dedup(data.frame(spark, more), runs=True).collect()
+        if r.n_removed_lines:
+            assert r.n_removed_lines == c * length and r.kept_text == f"own {p} {c}\nsecond {p} {c}\nlast {p} {c}"
+            whole += 1
+        else:
+            assert r.kept_text == r.text
+    assert whole >= (15 if length == 2 else 20)
+
+
+MORE = [(300, "la\nla\nla\nla\nla"), (301, "la\n\nla"), (302, "x\nla\nla"), (303, None), (304, ""), (305, "\n\n"),
+        (306, "a\nb\n\nc"), (307, "b\n\nc\nd"), (308, "b\nc"), (309, "q\nr"), (309, "z\nq\nr"), (None, "q\nr\ns"),
+        (None, "t\nu"), (None, "t\nu\nv"), (310, "a\nb"), (310, "a\nb"), (311, "\n\na\n \nb\n\n"), (312, "a\nb\n\n\nnew\n\na\nb")]
+
+
+def test_line_dedup_against_brute(spark, rows):
+    rng = __import__("random").Random(4)
+    more = rows + MORE + [(400 + k, "\n".join(rng.choice("abcdefgh \t") for _ in range(rng.randint(1, 60)))) for k in range(40)]
+    passage = [f"line {k}" for k in range(60)]
+    more += [(500 + k, "\n".join([f"own {k}", *passage[rng.randint(0, 20):rng.randint(30, 60)], f"end {k}"])) for k in range(20)]
+    want = brute_line_dedup(more)
+    got = lines.dedup(data.frame(spark, more)).collect()
     assert Counter((r.doc_id, r.text) for r in got) == Counter(more)
     kept = set()
     for r in got:
         if r.text is None:
-            assert r.kept_text is None and r.n_removed_lines == 0
+            assert r.kept_text is None and r.n_removed_lines == r.n_lines == r.n_chunks == 0
             continue
-        x, away = own[r.doc_id, r.text], gone[r.doc_id, r.text]
-        want = [line for k, line in enumerate(x) if k not in away]
-        left = r.kept_text.split("\n")
-        # blank lines of a chunk that goes whole go too
-        assert [y for y in left if y.strip()] == [y for y in want if y.strip()]
-        assert r.n_lines == len(x) and r.n_removed_lines >= len(away)
+        left, n, removed = want[r.doc_id, r.text]
+        assert r.kept_text == "\n".join(left), r.doc_id
+        n_lines = len(r.text.split("\n"))
+        assert (r.n_lines, r.n_removed_lines, r.n_chunks, r.n_removed_chunks) == (n_lines, n_lines - len(left), n, removed)
         kept.update(left)
-    assert all(line in kept for x in own.values() for line in x if brute.SPACE_WORD.search(line))  # nothing is lost
+    assert all(line in kept for _, t in more if t for line in t.split("\n") if brute.SPACE_WORD.search(line))  # nothing is lost
+
+
+def test_line_dedup_compares_bytes(spark, monkeypatch):
+    """Lines of one hash and other bytes are never taken for copies."""
+    monkeypatch.setattr(lines, "line_hash", lambda line: F.when(line.startswith("clash"), 5).otherwise(F.xxhash64(line)))
+    rows = [(k, f"clash {k}\nclash {k + 100}\nclash {k + 200}") for k in range(20)]
+    rows += [(100 + k, "same one\nsame two\nclash 1\nsame three\nsame four") for k in range(3)]
+    got = {r.doc_id: r.kept_text for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == t for k, t in rows[:21]) and got[101] == got[102] == "clash 1"
 
 
 def test_line_dedup_query_takes_short_passages(spark, tmp_path):
