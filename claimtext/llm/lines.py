@@ -38,10 +38,13 @@ gone) count the first chunking.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimtext.llm.common import NOT_SPACE, checkpointed, computed, fresh, quoted, without
+from claimtext.llm.common import NOT_SPACE, checkpointed, computed, fresh, quoted, remove_folder, without
+from claimtext.session import ensure_checkpoint_dir
 
 SEEDS = (1, 2)
 MIN_LINES = 2
@@ -144,7 +147,7 @@ def _clashes(docs: DataFrame, text: str) -> DataFrame:
     return distinct.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
 
 
-def _gone(slim: DataFrame, text: str) -> DataFrame:
+def _gone(slim: DataFrame, text: str, clashes: DataFrame) -> DataFrame:
     """(id, tag, gone): the lines (counted without blank ones) of (id, tag, text) that go."""
     hashed = _split(slim, text, "lines", "places").select("id", "tag", _hashes("lines", "places").alias("h"))
     docs = checkpointed(hashed.where(F.size("h") >= MIN_LINES).distinct())
@@ -174,7 +177,7 @@ def _gone(slim: DataFrame, text: str) -> DataFrame:
     met = docs.join(matches, F.col("m_id").eqNullSafe(F.col("id")) & (F.col("m_tag") == F.col("tag")))
     met = pinned(met, "gone", F.array_distinct(F.flatten(F.transform("matches", grown))))
     one = met.select("id", "tag", F.inline(F.transform("gone", lambda k: F.struct(k.alias("k"), F.get(F.col("h"), k).alias("h")))))
-    return one.join(_clashes(slim, text), "h", "left_anti").groupBy("id", "tag").agg(F.sort_array(F.collect_list("k")).alias("gone"))
+    return one.join(clashes, "h", "left_anti").groupBy("id", "tag").agg(F.sort_array(F.collect_list("k")).alias("gone"))
 
 
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -184,7 +187,11 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     key, tag, lines, places, gone, g_id, g_tag = fresh(docs, "id", "tag", "lines", "places", "gone", "g_id", "g_tag")
     keyed = docs.select("*", quoted(id).alias(key), F.xxhash64(quoted(text).cast("string")).alias(tag))
     slim = keyed.select(F.col(key).alias("id"), F.col(tag).alias("tag"), quoted(text).alias("text"))
-    of_doc = checkpointed(_gone(slim, "text")).select(F.col("id").alias(g_id), F.col("tag").alias(g_tag), F.col("gone").alias(gone))
+    spark = docs.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/clashes-{uuid.uuid4().hex}"
+    _clashes(slim, "text").write.parquet(folder)  # as files, Spark knows their size and mostly need not move the lines that go
+    of_doc = checkpointed(_gone(slim, "text", spark.read.schema("h long").parquet(folder))).select(F.col("id").alias(g_id), F.col("tag").alias(g_tag), F.col("gone").alias(gone))
+    remove_folder(spark, folder)
     joined = keyed.join(of_doc, F.col(key).eqNullSafe(F.col(g_id)) & F.col(tag).eqNullSafe(F.col(g_tag)), "left")
     full = _split(joined, text, lines, places)
     h, starts, flags, rest = fresh(full, "h", "starts", "flags", "rest")
