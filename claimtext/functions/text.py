@@ -188,3 +188,8 @@ def process_string_distinct(c, stem=None) -> Column:
 def extraction_line(c) -> Column:
     """Line prepared for body-part matching: fold, lower, punctuation."""
     return remove_punctuation(lower(fold(_col(c))))
+
+
+def remove_boundary_tags(pattern) -> Column:
+    """M5: a pattern word without its literal ``\\b`` markers."""
+    return F.replace(_col(pattern), F.lit("\\b"), F.lit(""))

@@ -833,3 +833,84 @@ def retrieve_repeated_queries(spark, sf):
     res = RT.retrieve(RT.fit(corpus, "doc_id", "clean"), q, corpus.select("doc_id", "code", "label"), TOP_K,
                       text_col="text", diagnostic_col="text")
     return _flat_codes(res)
+
+
+# ---------------------------------------------------------------------------
+# Through files and back
+# ---------------------------------------------------------------------------
+
+from claimtext import jobs as J  # noqa: E402
+from claimtext.sources import bundle as BN  # noqa: E402
+from claimtext.sources import tables as TB  # noqa: E402
+from claimtext.sources import text_files as TF  # noqa: E402
+
+
+def _new_folder(spark, name: str) -> str:
+    import uuid
+
+    from claimtext.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@register("appended_lines", r"""
+SELECT line, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\r\n|\r|\n')) AS line FROM documents)
+WHERE trim(line) <> '' GROUP BY line""")
+def appended_lines(spark, sf):
+    """The texts of each language appended by a named run, one of them twice; the lines read back and counted."""
+    root, d = _new_folder(spark, "lines"), V.read(spark, sf, "documents")
+    french = F.coalesce(F.col("lang") == "fr", F.lit(False))
+    for run, part in (("fr", d.where(french)), ("other", d.where(~french)), ("fr", d.where(french))):
+        TF.append_text(part, root, "text", run=run)
+    return TF.read_lines(spark, root).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
+LISTING_FILES = 16
+
+
+@register("ordered_lines", f"""
+SELECT chapter % {LISTING_FILES} AS file_no, line,
+       row_number() OVER (PARTITION BY chapter % {LISTING_FILES} ORDER BY chapter, line_no) - 1 AS line_no
+FROM ({_listing_sql()})""")
+def ordered_lines(spark, sf):
+    """S1 in order: the listings written to files, read back in splits, each line with its number in its file."""
+    root, rows = _new_folder(spark, "listing"), _listing(spark, sf).withColumn("file_no", F.col("chapter") % LISTING_FILES)
+    (rows.repartition("file_no").sortWithinPartitions("file_no", "chapter", "line_no").select("file_no", "line")
+     .write.partitionBy("file_no").text(root))
+    got = TF.read_lines(spark, f"{root}/*", ordered=True)
+    return got.select(F.regexp_extract("file", r"file_no=(\d+)/", 1).cast("long").alias("file_no"), "line", "line_no")
+
+
+@register("hierarchy_csv", "SELECT {} FROM ({})".format(
+    ", ".join(f"nullif({c}::VARCHAR, '') AS {c}" for c in K.HIERARCHY_COLUMNS), _CODES_SQL))
+def hierarchy_csv(spark, sf):
+    """The hierarchy written as CSV with a header and read back under its schema; an empty cell is missing, as P16 takes it."""
+    path = _new_folder(spark, "hierarchy")
+    TB.write_csv(_codes(spark, sf).select(*K.HIERARCHY_COLUMNS), path)
+    return J.read_hierarchy(spark, path, "csv")
+
+
+@register("detection_bundle", f"""
+SELECT t.*, (SELECT count(*) FROM ({_MEMBER_COUNTS_SQL}) c WHERE c.member = t.member) AS n_columns,
+       (SELECT count(*) FROM ({_MEMBER_LIST_SQL}) m WHERE m.member = t.member) AS n_members
+FROM ({_extract_sql()}) t""")
+def detection_bundle(spark, sf):
+    """Members, columns and sides saved with the tuples as a bundle, checked at load, and met with the tuples."""
+    root = _new_folder(spark, "bundle")
+    tables = J.detection_variables(spark, V.claims(spark, sf).columns[2:])
+    BN.save_bundle({**tables, "tuples": _extract(spark, sf)}, root)
+    got = BN.load_bundle(spark, root, verify=True)
+    columns = got["columns"].groupBy("member").agg(F.count(F.lit(1)).alias("n_columns"))
+    members = got["members"].groupBy("member").agg(F.count(F.lit(1)).alias("n_members"))
+    return got["tuples"].join(columns, "member", "left").join(members, "member", "left").na.fill(0, ["n_columns", "n_members"])
+
+
+_BOUND_WORDS_SQL = r"SELECT DISTINCT '\b' || unnest(string_split(p_name, ' ')) || '\b' AS pattern FROM part"
+
+
+@register("boundary_words", rf"""
+SELECT pattern, replace(pattern, '\b', '') AS word FROM ({_BOUND_WORDS_SQL})""")
+def boundary_words(spark, sf):
+    """M5: the words of part names written as patterns between word boundaries, and the words without these."""
+    words = V.read(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
+    patterns = words.select(F.concat(F.lit("\\b"), "w", F.lit("\\b")).alias("pattern"))
+    return patterns.select("pattern", TX.remove_boundary_tags("pattern").alias("word"))
