@@ -2,10 +2,15 @@
 
 Source shares p of the tokens (words and one end mark a row) become weights
 p**t / sum(p**t).  The exponent t is bisected: either to the largest t whose
-weights still have the target entropy, or to the smallest t in [0, 1] for
-which no source is repeated more than ``max_repeats`` times.  One aggregation
-over the source totals evaluates the 15 inner points of a bracket, that is
-four halvings; no source list reaches the driver.
+weights still have the target entropy, or to the smallest t for which no
+source is repeated more than ``max_repeats`` times.  One aggregation over the
+source totals evaluates the 15 inner points of a bracket, that is four
+halvings; no source list reaches the driver.  The bracket is [0, 1], between
+equal weights and the sources' own; a target entropy below the sources' own
+needs t > 1, for which its upper end is doubled.  What no exponent meets is an
+error: an entropy above that of equal weights or below that of the largest
+sources alone, or a budget that repeats even the sources' own shares more
+often than the limit.
 
 The budget is the tokens of the mixed stream.  Without one it is the least
 that shows every row once; then the mix repeats rows of small sources and
@@ -40,6 +45,8 @@ CELL_ROWS = 500
 INNER = 15  # points of a bracket that one job evaluates: four bisection steps
 JOBS = 8
 SEED = 11
+SLACK = 1e-9  # of shares, entropies and repeats
+MOST = 1e6  # largest exponent that is tried
 BROADCAST_SOURCES = 10_000
 
 
@@ -63,7 +70,30 @@ def exponent(totals: DataFrame, max_repeats: float | None = MAX_REPEATS, entropy
     if (max_repeats is None) == (entropy is None):
         raise ValueError("give either max_repeats or entropy")
     low, high = 0.0, 1.0
-    p, log = F.col("share"), F.log("share")
+    log = F.log("share")
+    ends = totals.agg(F.sum("tokens").alias("whole"), F.count("*").alias("n"), F.max("share").alias("top"),
+                      F.sum(-F.col("share") * log).alias("own")).first()
+    if ends.whole is None:
+        return 1.0
+    if entropy is None and (1 if budget is None else budget / ends.whole) > max_repeats * (1 + SLACK):
+        raise ValueError(f"{budget or ends.whole} of {ends.whole} tokens repeat some more than {max_repeats} times under any weights")
+    if entropy is not None:
+        largest = totals.where(F.col("share") >= ends.top * (1 - SLACK)).count()  # what is left as t grows
+        if not math.log(largest) - SLACK <= entropy <= math.log(ends.n) + SLACK:
+            raise ValueError(f"entropy {entropy} is not between {math.log(largest)} and {math.log(ends.n)}")
+        if largest == ends.n:  # all weights are equal under any exponent
+            return 1.0
+        top = ends.top  # shares relative to the largest keep the powers of a large exponent apart from zero
+        if entropy < ends.own:
+            low = 1.0
+            while True:
+                high *= 2
+                power = F.exp(F.lit(high) * F.log(F.col("share") / F.lit(top)))
+                r = totals.agg(F.sum(power).alias("z"), F.sum(power * F.log(F.col("share") / F.lit(top))).alias("e")).first()
+                if math.log(r.z) - high * r.e / r.z <= entropy or high > MOST:
+                    break
+                low = high
+        log = F.log(F.col("share") / F.lit(top))
     for _ in range(JOBS):
         points = [low + (high - low) * k / (INNER + 1) for k in range(1, INNER + 1)]
         sums = []
@@ -72,8 +102,6 @@ def exponent(totals: DataFrame, max_repeats: float | None = MAX_REPEATS, entropy
             sums += [F.sum(power).alias(f"z{k}"), F.sum(power * log).alias(f"e{k}"),
                      F.max(F.exp(F.lit(t - 1) * log)).alias(f"m{k}"), F.min(F.exp(F.lit(t - 1) * log)).alias(f"l{k}")]
         r = totals.agg(*sums, F.sum("tokens").alias("whole")).first()
-        if r.whole is None:
-            return 1.0
         if entropy is not None:
             met = [math.log(r[f"z{k}"]) - t * r[f"e{k}"] / r[f"z{k}"] >= entropy for k, t in enumerate(points)]
             below = [t for t, ok in zip(points, met) if ok]  # entropy falls with t
@@ -90,8 +118,9 @@ def exponent(totals: DataFrame, max_repeats: float | None = MAX_REPEATS, entropy
 
 def quotas(totals: DataFrame, t: float, budget: int | None = None) -> DataFrame:
     """totals with weight, quota (tokens of the mixed stream), epochs and cells, checkpointed."""
-    power = totals.withColumn("power", F.exp(F.lit(t) * F.log("share")))
-    r = power.agg(F.sum("power").alias("z"), F.max(F.col("tokens") / F.col("power")).alias("cover")).first()
+    top = totals.agg(F.max("share")).first()[0] if t > 1 else None  # large powers relative to the largest, else all vanish
+    power = totals.withColumn("power", F.exp(F.lit(t) * F.log(F.col("share") / F.lit(top) if top else F.col("share"))))
+    r = power.agg(F.sum("power").alias("z"), F.max(F.try_divide("tokens", "power")).alias("cover")).first()
     weighed = power.withColumn("weight", F.col("power") / F.lit(r.z or 1.0))
     quota = (F.greatest(F.round(F.col("power") * F.lit(r.cover or 0.0)).cast("long"), F.col("tokens")) if budget is None
              else F.round(F.col("weight") * F.lit(budget)).cast("long"))

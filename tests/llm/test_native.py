@@ -107,6 +107,37 @@ def test_mixing_entropy_and_budget(spark):
         mixing.exponent(totals, None, None)
 
 
+@pytest.mark.parametrize("sizes, entropy", [((70, 30), 0.2), ((70, 30), 0.65), ((9, 9, 1), 0.7), ((50, 30, 20), 0.01),
+                                            ((501, 500), 0.001)])
+def test_mixing_entropy_below_the_sources_own(spark, sizes, entropy):
+    """Any entropy between that of the largest sources alone and that of equal weights is met."""
+    rows = [(k * 1000 + i, "", f"s{k}") for k, n in enumerate(sizes) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    totals = mixing.source_totals(docs, "source", "text")
+    t = mixing.exponent(totals, None, entropy)
+    w = [(n / max(sizes)) ** t for n in sizes]
+    w = [x / sum(w) for x in w]
+    assert abs(-sum(x * math.log(x) for x in w if x) - entropy) < 1e-5
+    plan = {r.source: r.weight for r in mixing.quotas(totals, t, 1000).collect()}
+    assert all(abs(plan[f"s{k}"] - x) < 1e-6 for k, x in enumerate(w))
+
+
+def test_mixing_targets_that_nothing_meets(spark):
+    docs = spark.createDataFrame([(k, "", "ab"[k % 2]) for k in range(10)] + [(99, "", "c")], "doc_id long, text string, source string")
+    totals = mixing.source_totals(docs, "source", "text")
+    for entropy in (1.2, 0.5):  # above ln 3; below ln 2, that of the two largest alone
+        with pytest.raises(ValueError):
+            mixing.exponent(totals, None, entropy)
+    for budget in (23, 10_000):
+        with pytest.raises(ValueError):
+            mixing.exponent(totals, 2.0, budget=budget)
+    assert mixing.exponent(totals, 2.0, budget=22) == 1.0
+    with pytest.raises(ValueError):
+        mixing.exponent(totals, 0.5)
+    even = mixing.source_totals(docs.where("source <> 'c'"), "source", "text")
+    assert mixing.exponent(even, None, math.log(2)) == 1.0
+
+
 def test_mixing_empty_and_single(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     one = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s")], "doc_id long, text string, source string")
