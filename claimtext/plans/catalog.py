@@ -281,6 +281,7 @@ def extract_member_side_counts(spark, sf):
 # Vocabularies and the vocabulary filter
 # ---------------------------------------------------------------------------
 
+from claimtext.operators import prune as PR  # noqa: E402
 from claimtext.operators import retrieve as RT  # noqa: E402
 from claimtext.operators import vocab as VO  # noqa: E402
 
@@ -463,6 +464,15 @@ def topk_similar(spark, sf):
     return RT.top_k(m, RT.score(m, qw), q.select("query_id"), TOP_K)
 
 
+@register("topk_pruned", f"WITH {_TFIDF_CTE}, bq AS ({_BENCH_Q}), {_query_weights_cte('bq')} SELECT * FROM topk")
+def topk_pruned(spark, sf):
+    """The rows of ``topk_similar`` from the pairs that can still reach the k-th score."""
+    m = _model(spark, sf)
+    q = _bench_queries(spark, sf)
+    qw = RT.transform(m, q, "query_id", "qclean")
+    return RT.top_k(m, PR.candidates(m, qw, TOP_K), q.select("query_id"), TOP_K)
+
+
 @register("topk_stored_model", f"WITH {_TFIDF_CTE}, bq AS ({_BENCH_Q}), {_query_weights_cte('bq')} SELECT * FROM topk")
 def topk_stored_model(spark, sf):
     """A model stored for the even ids, the other documents added to it, opened and queried."""
