@@ -52,6 +52,7 @@ PIECE = 1 << 17  # characters of a piece of a long text, at least
 MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 UNITS = 60_000  # units that a worker's memo has at most, before a chunk
 ENCODED = 16_384  # units that are encoded at once
+LOOKED_UP = 1 << 17  # links whose counts are looked up at once: some 60 bytes each
 TOGETHER = 1024  # of them, those that are one text for the tokenizers
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _WIDE = re.compile(r" \s|\s ")
@@ -316,10 +317,15 @@ def best_links(aligned: DataFrame, counts: DataFrame, limit: int) -> DataFrame:
     shared = counts.sparkSession.sparkContext.broadcast(
         (pairs[order], near["n"].to_numpy()[order], near["best"].to_numpy(zero_copy_only=False)[order]))
 
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in chunks(batch.column(1).offsets.to_numpy(), LOOKED_UP):
+                yield batch.slice(i, j - i)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, n, best = shared.value
-        for batch in batches:
-            column = batch.column(1)
+        for part in parts(batches):
+            column = part.column(1)
             offsets = column.offsets.to_numpy() - column.offsets[0].as_py()
             links = column.flatten().to_numpy()
             place = np.minimum(np.searchsorted(pairs, links), max(len(pairs) - 1, 0))
@@ -331,7 +337,7 @@ def best_links(aligned: DataFrame, counts: DataFrame, limit: int) -> DataFrame:
             np.cumsum(~found, out=total[2, 1:])
             sums = total[:, offsets[1:]] - total[:, offsets[:-1]]
             rare = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sums[2])], pa.int32()), pa.array(links[~found]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums[0]), pa.array(sums[1]), rare],
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sums[0]), pa.array(sums[1]), rare],
                                              names=["key", "n_best", "count_sum", "rare"])
 
     near = checkpointed(aligned.select("key", "links").mapInArrow(
