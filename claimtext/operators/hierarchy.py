@@ -132,7 +132,7 @@ def substrings(s: Column, lengths: Column) -> Column:
 
 def attach_codes(nodes: DataFrame, codes: DataFrame, chapter_num: str, chapter_name: str,
                  num_col: str = "diagnostic_num", label_col: str = "diagnostic",
-                 code_lengths=None) -> DataFrame:
+                 code_lengths=None, few_codes: bool = False) -> DataFrame:
     """H3/H4: every code row whose code contains the node code, in the output layout.
 
     ``nodes`` has Categorie, Sous_Categorie, Sous_Sous_Categorie (+ any order
@@ -142,6 +142,13 @@ def attach_codes(nodes: DataFrame, codes: DataFrame, chapter_num: str, chapter_n
     ``code_lengths``: the possible node-code lengths when known (nodes from
     ``hierarchy_nodes`` have ``LISTING_CODE_LENGTHS``); otherwise they are
     read from the nodes with a one-row subquery.
+
+    Spark takes an exploded table to be as small as the table it comes from,
+    and would broadcast the substrings of millions of codes.  So those that
+    are node codes are kept by a semi join, and each of them meets its nodes
+    in a left join, where the nodes alone can be broadcast; all have a match,
+    so it gives the rows of the inner join.  ``few_codes``: the code table is
+    known to be small beside the nodes, and either side may be broadcast.
     """
     n = nodes.withColumn("_code", node_code(F.col("Sous_Categorie"), F.col("Sous_Sous_Categorie")))
     if code_lengths is not None:
@@ -154,7 +161,10 @@ def attach_codes(nodes: DataFrame, codes: DataFrame, chapter_num: str, chapter_n
            .select("diagnostic_num", "diagnostic",
                    F.explode_outer(substrings(F.col("diagnostic_num"), F.col("_lens"))).alias("_code"))
            .filter(F.col("_code").isNotNull()))
-    j = n.join(cx, "_code")
+    if few_codes:
+        j = n.join(cx, "_code")
+    else:
+        j = cx.join(n.select("_code").distinct(), "_code", "left_semi").join(n, "_code", "left")
     extra = [x for x in nodes.columns if x not in ("Categorie", "Sous_Categorie", "Sous_Sous_Categorie")]
     return j.select(*extra, F.lit(chapter_num).alias("Chapitre_num"), F.lit(chapter_name).alias("Chapitre_nom"),
                     "Categorie", F.lit("").alias("Sous_Categorie"),

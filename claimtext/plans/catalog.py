@@ -755,7 +755,7 @@ def hierarchy_full(spark, sf):
     """H1-H5 end to end: ordered listing -> nodes -> every code containing the node code."""
     nodes, _rejects = HI.hierarchy_nodes(_listing(spark, sf), "chapter", "line_no", "line")
     return HI.attach_codes(nodes, _event_codes(spark, sf), CHAPTER_NUM, CHAPTER_NAME,
-                           code_lengths=HI.LISTING_CODE_LENGTHS)
+                           code_lengths=HI.LISTING_CODE_LENGTHS, few_codes=True)
 
 
 def _doc_sql(alias: str) -> str:

@@ -1,5 +1,7 @@
 """Code hierarchy: line classes, ordered scan, substring containment join."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from claimtext.operators import hierarchy as HI
@@ -65,6 +67,28 @@ def test_contains_join_equals_brute_force(spark):
     assert (row["Chapitre_num"], row["Sous_Categorie"]) == ("19", "")
 
 
+def test_exploded_codes_are_never_broadcast(spark, tmp_path):
+    nodes = spark.createDataFrame([("c", "S00 x", ""), ("c", "S00 x", ""), ("d", "S02 y", ""), ("d", None, "")],
+                                  "Categorie string, Sous_Categorie string, Sous_Sous_Categorie string")
+    codes = spark.createDataFrame([("S001", "a"), ("S001", "a"), ("XS02", "b"), (None, "n"), ("T", "t")],
+                                  "diagnostic_num string, diagnostic string")
+    for name, df in (("nodes", nodes), ("codes", codes)):  # files have a size that Spark plans by
+        df.write.parquet(f"{tmp_path}/{name}")
+    out = HI.attach_codes(spark.read.parquet(f"{tmp_path}/nodes"), spark.read.parquet(f"{tmp_path}/codes"), "19", "chap")
+    lines = out._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = lambda ln: re.search("[A-Z]", ln + "A").start()
+    for i, ln in enumerate(lines):
+        if "BroadcastExchange" in ln:
+            below = []
+            for other in lines[i + 1:]:
+                if depth(other) <= depth(ln):
+                    break
+                below.append(other)
+            assert not any("Generate" in other for other in below)
+    got = sorted((r["Categorie"], r["Sous_Sous_Categorie"], r["diagnostic_num"]) for r in out.collect())
+    assert got == [("c", "S00 x", "S001")] * 4 + [("d", "S02 y", "XS02")]
+
+
 def test_document_concat_doubles_fifth_and_writes_nan(spark):
     df = spark.createDataFrame([("19", "chap", "cat", "", "sub", None, "S001")],
                                "Chapitre_num string, Chapitre_nom string, Categorie string, Sous_Categorie string, "
