@@ -110,3 +110,19 @@ def test_long_joined_token(spark):
     df = spark.createDataFrame([(t,), (t + " x",)], "s string")
     got = df.select(F.size(TX.raw_tokens("s")).alias("n"), TX.has_two_raw_tokens(F.col("s")).alias("two")).collect()
     assert [tuple(r) for r in got] == [(1, False), (2, True)]
+
+
+def test_fold_drops_what_it_folds_to():
+    """Digits go in the pass that folds, those that a character is folded to as well."""
+    from claimtext import constants as K
+    plan = str(TX.fold("t", also_drop=K.DIGITS))
+    assert "1/4" not in plan and "/" in plan
+
+
+def test_one_pass_chain_equals_pass_by_pass(spark):
+    texts = ["a1  b", "x½y² deg°3", "l’eau d'été, n'est-ce pas", "ΣΑΣ. ΑΣ'b", "", "  ", None, "œuvre\u0301 1 2  3", "a\xa0b®c[d]e\\\\f^g"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    s = TX.remove_punctuation(TX.lower(TX.remove_numbers(TX.fold("t"))))
+    passes = TX.ws_tokens(TX.remove_apostrophe(F.array_join(TX.remove_stop_words(TX.ws_tokens(s)), " ")))
+    assert d.where(~passes.eqNullSafe(TX.unstemmed_tokens("t"))).count() == 0
+    assert "translate" not in str(TX.unstemmed_tokens("t")).replace("translate", "", 1)  # one pass over the text, not four
