@@ -94,8 +94,12 @@ def lower(c) -> Column:
 
 
 def remove_punctuation(c) -> Column:
-    """Each punctuation character becomes one space (length preserved)."""
-    return F.translate(_col(c), K.PUNCTUATION, " " * len(K.PUNCTUATION))
+    """Each punctuation character becomes one space (length preserved).
+
+    A character class is several times as fast as ``translate``, which looks
+    every character of the text up in a map.
+    """
+    return F.regexp_replace(_col(c), f"[{_escaped(K.PUNCTUATION)}]", " ")
 
 
 def remove_numbers(c) -> Column:
@@ -116,8 +120,12 @@ def ws_tokens(c) -> Column:
 
 def _split_at(c, chars: str) -> Column:
     """Whitespace tokens of a text in which each of ``chars`` counts as a space: one pass, no text built in between."""
-    inside = "".join(f"\\x{{{ord(ch):x}}}" for ch in chars)
-    return F.filter(F.split(_col(c), rf"[\s{inside}]+"), lambda t: t != "")
+    return F.filter(F.split(_col(c), rf"[\s{_escaped(chars)}]+"), lambda t: t != "")
+
+
+def _escaped(chars: str) -> str:
+    """Characters as they stand in a character class."""
+    return "".join(f"\\x{{{ord(ch):x}}}" for ch in chars)
 
 
 def raw_tokens(c) -> Column:

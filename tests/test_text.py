@@ -126,3 +126,13 @@ def test_one_pass_chain_equals_pass_by_pass(spark):
     passes = TX.ws_tokens(TX.remove_apostrophe(F.array_join(TX.remove_stop_words(TX.ws_tokens(s)), " ")))
     assert d.where(~passes.eqNullSafe(TX.unstemmed_tokens("t"))).count() == 0
     assert "translate" not in str(TX.unstemmed_tokens("t")).replace("translate", "", 1)  # one pass over the text, not four
+
+
+def test_punctuation_by_character_class(spark):
+    """Each character becomes a space, as a map of characters would have it, and none is looked up in one."""
+    from claimtext import constants as K
+    texts = [K.PUNCTUATION, f"a{K.PUNCTUATION[::-1]}b", "é\U0001f600-\u2028’'x", "", None, "a\r\tb\x0b"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    mapped = F.translate("t", K.PUNCTUATION, " " * len(K.PUNCTUATION))
+    assert d.where(~mapped.eqNullSafe(TX.remove_punctuation("t"))).count() == 0
+    assert "translate" not in str(TX.remove_punctuation("t"))
