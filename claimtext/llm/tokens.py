@@ -11,8 +11,10 @@ new counts, and joins the counts to the documents.
 The tokenizers library counts.  No token, special string or canonical
 composition reaches across ASCII white space, so a text's count is the sum
 over its pieces between white space, and each distinct piece of a batch is
-encoded once.  That is checked for the given file when the encoder is built;
-a tokenizer of another kind encodes whole texts.
+encoded once, many in one call, in which the library keeps them apart.
+Pieces that come again and again stay in a worker's memo.  That pieces add up
+is checked for the given file when the encoder is built; a tokenizer of
+another kind encodes whole texts.
 
 Defined results: a null text counts as empty, with 0 tokens.  Copies and
 repeated rows are encoded once.  Runs that append the same digest twice are
@@ -25,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,7 +38,8 @@ from claimtext.llm.common import SPACE, fresh, quoted, without
 from claimtext.llm.words import chunks, text_bytes
 
 _CACHE = "digest binary, n_tokens long, tokenizer string"
-MEMO_PIECES = 50_000  # pieces that a worker's memo of counts has at most, before a chunk
+MEMO_PIECES = 150_000  # pieces of each of the two halves of a worker's memo of counts, before a chunk
+MEMO_BYTES = 64  # longer pieces are not remembered
 ENCODED = 4096  # pieces that are encoded at once
 CHUNK = 1 << 20  # bytes of text that are split at once
 
@@ -52,21 +56,32 @@ class Encoder:
         self.tokenizer.no_padding()
         self.by_piece = by_piece
         self.memo: dict[bytes, int] = {}
+        self.before: dict[bytes, int] = {}
 
     def _encode(self, texts: list[str]) -> list[int]:
         return [len(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_pieces(self, pieces: list[str]) -> list[int]:
+        """Tokens of each piece, from one call: given as a list, pieces are encoded apart and numbered."""
+        out = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        numbers = Counter(out.word_ids)
+        return [numbers[i] for i in range(len(pieces))]
+
     def counts(self, texts: list[str]) -> list[int]:
         if not self.by_piece:
             return self._encode(texts)
         pieces = [t.encode().split() for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO_PIECES:
-            memo.clear()
-        new = list({p for row in pieces for p in row if p not in memo})
+        if len(self.memo) > MEMO_PIECES:  # pieces not met since the last turn are forgotten, frequent ones stay
+            self.before = {p: n for p, n in self.memo.items() if len(p) <= MEMO_BYTES}
+            self.memo = {}
+        memo, before = self.memo, self.before
+        unseen = set().union(*pieces).difference(memo)
+        again = before.keys() & unseen
+        memo.update((p, before[p]) for p in again)
+        new = list(unseen.difference(again))
         for k in range(0, len(new), ENCODED):
             part = new[k:k + ENCODED]
-            memo.update(zip(part, self._encode([p.decode() for p in part])))
+            memo.update(zip(part, self._encode_pieces([p.decode() for p in part])))
         return [sum(map(memo.__getitem__, row)) for row in pieces]
 
 

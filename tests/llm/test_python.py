@@ -69,6 +69,24 @@ def test_token_counts_and_cache(spark, rows):
     assert tokens.count_tokens(data.frame(spark, rows).limit(0), definition, cache).count() == 0
 
 
+def test_frequent_pieces_are_encoded_once(monkeypatch):
+    """The memo forgets pieces that do not come again, not the frequent ones; long ones are not kept."""
+    import public_tokenizers
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        encoder = tokens.Encoder(f.read(), True)
+    monkeypatch.setattr(tokens, "MEMO_PIECES", 20)
+    seen = []
+    encode = encoder._encode_pieces
+    monkeypatch.setattr(encoder, "_encode_pieces", lambda pieces: seen.extend(pieces) or encode(pieces))
+    often, long = [f"often{c}" for c in "abcdef"], "long" * 40
+    texts = [" ".join([*often, long, *(f"own{i}x{j}" for j in range(15))]) for i in range(30)] + TRICKY + ["", " \n"]
+    want = [len(encoder.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert [n for t in texts for n in encoder.counts([t])] == want
+    assert all(seen.count(w) == 1 for w in often) and seen.count(long) > 1
+    assert encoder.counts(texts) == want
+    assert len(encoder.before) <= 100
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
