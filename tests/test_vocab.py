@@ -116,3 +116,17 @@ def test_stored_dictionary_stems_unseen_words_only(spark, tmp_path):
     assert got["genoux"] == "kept" and got == {r.token: r.stem for r in VO.add_to_stem_dictionary(two, "t", path).collect()}
     out = VO.stemmed_tokens(two.withColumn("id", F.lit(1)), "id", "t", spark.read.parquet(path)).first()
     assert out.t == [got["mains"], "kept"]
+
+
+def test_stems_are_placed_not_looked_up(spark):
+    """Stems return by place, not from a map built anew for each token; rows that share a key or are equal are all kept."""
+    rows = [(1, ["chats", "chat", "chats", None], "a")] * 2 + [(1, ["chats", "chat", "chats", None], "b"), (1, ["maisons"], "b"),
+            (2, [], "c"), (3, None, "d"), (None, ["chiens", "zz", "chiens"], "e")]
+    df = spark.createDataFrame(rows, "id long, t array<string>, x string")
+    out = VO.stemmed_tokens(df, "id", "t")
+    same = ["chat", "chat", "chat", None]
+    want = [(1, same, "a")] * 2 + [(1, same, "b"), (1, ["maison"], "b"), (2, [], "c"), (3, None, "d"),
+            (None, ["chien", "zz", "chien"], "e")]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_from_entries" not in plan and "try_element_at" not in plan
