@@ -128,5 +128,7 @@ def test_stems_are_placed_not_looked_up(spark):
     want = [(1, same, "a")] * 2 + [(1, same, "b"), (1, ["maison"], "b"), (2, [], "c"), (3, None, "d"),
             (None, ["chien", "zz", "chien"], "e")]
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+    at = VO.stemmed_tokens(df.where("id = 2 or id is null").withColumnRenamed("id", "_at"), "_at", "t").collect()
+    assert sorted(map(str, map(tuple, at))) == sorted(map(str, want[-1:] + want[4:5]))
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "map_from_entries" not in plan and "try_element_at" not in plan
