@@ -24,6 +24,13 @@ a query's weight goes to each block, so that no join key holds more than about
 that many postings.  The block grows with the postings, so there are at most
 ``HOT_TERMS`` such terms: that table is broadcast, and so is the head.
 
+The documents of a fitted model stand in segments (``TfidfModel.index``); there
+the same steps are taken for each segment by itself, in the task that holds it
+(``Segment``): bounds, threshold, terms put off and survivors are those of its
+own documents, a term put off is looked up in its postings, so each document
+needs no array, and neither postings nor pairs are shuffled.  A model of tables
+(``open_model``) goes the way above, over rows.
+
 Defined results: a query with fewer than k documents that share a probed term
 has no threshold, and all its pairs are scored.  Rows that repeat a doc_id or a
 query_id add up, as in ``retrieve.score``.  Empty tables give no rows.
@@ -31,11 +38,17 @@ query_id add up, as in ``retrieve.score``.  Empty tables give no rows.
 
 from __future__ import annotations
 
+import sys
+from functools import cached_property
+
+import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimtext.functions import text as TX
-from claimtext.session import ensure_checkpoint_dir
+from claimtext.operators import blocks as BL
+from claimtext.session import ensure_checkpoint_dir, saved
 
 PROBE = 400        # postings of a query's rare terms, for each of the k, that the threshold comes from
 HEAD = 256         # most frequent terms, whose weights each document has as one array (8 bytes each)
@@ -43,6 +56,9 @@ BLOCK = 1 << 20    # postings of one term that meet in one join key
 HOT_TERMS = 4096   # terms with more than a block of postings, at most
 MARGIN = 4e-6      # scores are ranked on six digits, sums of doubles differ in the last ones
 
+# Workers need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def merged(weights: DataFrame) -> DataFrame:
     """(doc_id, norm2, term, dw): repeated rows added up; no exchange where the weights are partitioned by document."""
@@ -146,18 +162,109 @@ def survivors(split: DataFrame, postings: DataFrame, hot: DataFrame | None) -> D
     return sums.where(F.col("p") + F.least("late_ub", rest) >= F.col("theta") - MARGIN).select("query_id", "doc_id", "p")
 
 
+class Segment(BL._Block):
+    """The documents of a segment, scored as far as they can be among its k best."""
+
+    probe = PROBE
+
+    @cached_property
+    def most(self) -> np.ndarray:
+        """The largest weight of each term."""
+        return np.maximum.reduceat(self.weights, self.starts) if len(self.starts) else np.zeros(0)
+
+    @cached_property
+    def norm2(self) -> np.ndarray:
+        return np.bincount(self.docs, self.weights * self.weights, len(self.ids))
+
+    @cached_property
+    def repeats(self) -> bool:
+        """Whether a document has a term twice, as rows that share an id do."""
+        again = np.diff(self.docs, prepend=-1) == 0
+        again[self.starts] = False
+        return bool(again.any())
+
+    def looked_up(self, codes: np.ndarray, weights: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """What these terms add to documents, from the documents' places in the postings of each term."""
+        added = np.zeros(len(places))
+        for code, weight in zip(codes, weights):
+            start = self.starts[code]
+            docs = self.docs[start:start + self.sizes[code]]
+            at = np.minimum(np.searchsorted(docs, places), len(docs) - 1)
+            added += np.where(docs[at] == places, self.weights[start + at], 0.0) * weight
+        return added
+
+    def threshold(self, codes: np.ndarray, weights: np.ndarray, k: int) -> float | None:
+        """A score that k documents reach, from the rarest terms; None where they find fewer."""
+        rare = np.lexsort((codes, self.sizes[codes]))
+        sizes = self.sizes[codes[rare]]
+        probed = np.cumsum(sizes) - sizes < self.probe * k
+        places, sums = self.sums(codes[rare[probed]], weights[rare[probed]])
+        if len(places) < k:
+            return None
+        best = np.argpartition(sums, len(sums) - k)[-k:]
+        rest = rare[~probed]
+        return float((sums[best] + self.looked_up(codes[rest], weights[rest], places[best])).min())
+
+    def late(self, codes: np.ndarray, weights: np.ndarray, theta: float) -> np.ndarray:
+        """The terms that together cannot reach the threshold, cheapest bound for each posting first."""
+        bounds = weights * self.most[codes]
+        cheap = np.lexsort((codes, bounds / self.sizes[codes]))
+        reach = np.minimum(np.cumsum(bounds[cheap]), np.sqrt(np.cumsum(weights[cheap] ** 2)) * self.norm2.max() ** 0.5)
+        out = np.zeros(len(codes), bool)
+        out[cheap[:np.searchsorted(reach, theta - MARGIN)]] = True
+        return out
+
+    def survivors(self, codes: np.ndarray, weights: np.ndarray, late: np.ndarray, theta: float) -> tuple[np.ndarray, np.ndarray]:
+        """Places and sums of the documents whose early terms, and what the late ones can add, reach the threshold."""
+        places, sums = self.sums(codes[~late], weights[~late])
+        near = sums + (weights[late] * self.most[codes[late]]).sum() >= theta - MARGIN
+        places, sums = places[near], sums[near]
+        near = sums + np.sqrt((weights[late] ** 2).sum() * self.norm2[places]) >= theta - MARGIN
+        return places[near], sums[near]
+
+    def best(self, codes: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        theta = None if self.repeats else self.threshold(codes, weights, k)
+        if theta is None:
+            return super().best(codes, weights, k)
+        late = self.late(codes, weights, theta)
+        places, sums = self.survivors(codes, weights, late, theta)
+        return self.first(places, sums + self.looked_up(codes[late], weights[late], places), k)
+
+
 class Pruner:
-    """A model's postings, bounds, head and hot terms, made once for any number of query sets."""
+    """A model's postings, bounds, head and hot terms, each made once, where asked for, for any number of query sets."""
 
     def __init__(self, model, block: int = BLOCK, hot_terms: int = HOT_TERMS, head: int = HEAD):
         ensure_checkpoint_dir(model.weights.sparkSession)
-        self.postings = merged(model.weights).checkpoint(eager=True)
-        bounds = term_bounds(self.postings).checkpoint(eager=True)
-        self.hot = hot_blocks(bounds, block, hot_terms)
-        ranked = head_terms(bounds, head).checkpoint(eager=True)
-        self.heads = head_weights(self.postings, ranked, head).checkpoint(eager=True)
-        self.bounds = bounds.join(F.broadcast(ranked), "term", "left")
-        self.longest = (self.postings.agg(F.max("norm2")).first()[0] or 0.0) ** 0.5
+        self.model, self.block, self.hot_terms, self.head = model, block, hot_terms, head
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        return saved(merged(self.model.weights))
+
+    @cached_property
+    def _bounds(self) -> DataFrame:
+        return saved(term_bounds(self.postings))
+
+    @cached_property
+    def hot(self) -> DataFrame | None:
+        return hot_blocks(self._bounds, self.block, self.hot_terms)
+
+    @cached_property
+    def _ranked(self) -> DataFrame:
+        return saved(head_terms(self._bounds, self.head))
+
+    @cached_property
+    def heads(self) -> DataFrame:
+        return saved(head_weights(self.postings, self._ranked, self.head))
+
+    @cached_property
+    def bounds(self) -> DataFrame:
+        return self._bounds.join(F.broadcast(self._ranked), "term", "left")
+
+    @cached_property
+    def longest(self) -> float:
+        return (self.postings.agg(F.max("norm2")).first()[0] or 0.0) ** 0.5
 
     def split(self, query_weights: DataFrame, k: int, probe: int = PROBE) -> DataFrame:
         """The query terms with their bounds, thresholds and whether they come late; written once."""
@@ -168,6 +275,10 @@ class Pruner:
 
     def candidates(self, query_weights: DataFrame, k: int, probe: int = PROBE) -> DataFrame:
         """(query_id, doc_id, score) of pairs that hold each query's k best documents."""
+        index = self.model.index()
+        if index is not None:
+            kind = type("Segment", (Segment,), {"probe": probe})
+            return BL.best(self.model.weights, query_weights, self.model.n_postings, k, index, self.model.docs.count(), kind)
         split = self.split(query_weights, k, probe)
         return complete(survivors(split, self.postings, self.hot), split.where("late"), self.heads)
 

@@ -95,3 +95,34 @@ def test_repeated_ids_and_empty_tables(spark):
     assert PR.candidates(m, qw.limit(0), 2).collect() == []
     none = RT.fit(c.limit(0))
     assert PR.candidates(none, RT.transform(none, q), 2).collect() == []
+
+
+def test_segments_are_pruned_without_rows(spark, monkeypatch):
+    """A fitted model's segments give the rows of all pairs; no posting is a row, and few documents are scored to the end."""
+    from claimtext.operators import segments as SG
+    monkeypatch.setattr(SG, "SEGMENT_WORDS", 700)
+    rows, m = hot_model(spark)
+    qs = [(j, f"often rare{j:02d} own{j}") for j in range(6)] + [(9, "often"), (10, "nothing"), (11, "own3")]
+    q = spark.createDataFrame(qs, "query_id long, text string")
+    pruner = PR.Pruner(m)
+    monkeypatch.setattr(PR, "merged", lambda *a: 1 / 0)
+    scores = pruner.candidates(RT.transform(m, q), 3, probe=1)
+    assert "Generate" not in scores._jdf.queryExecution().executedPlan().toString()
+    check(RT.top_k(m, scores, q.select("query_id"), 3).collect(), rows, qs, 3)
+    blocks = [PR.Segment.of(*map(bytes, r), len(rows)) for r in m.index().drop("_seg").collect()]
+    assert len(blocks) > 1
+    PR.Segment.probe = 1
+    try:
+        for b in blocks:
+            words = {w: i for i, w in enumerate(b.words.to_pylist())}
+            import numpy as np
+            codes, weights = np.array([words["often"], words["rare00"]]), np.array([0.2, 0.98])
+            if b.sizes[codes[1]] < 2:
+                continue
+            theta = b.threshold(codes, weights, 2)
+            late = b.late(codes, weights, theta)
+            assert late.tolist() == [True, False]
+            places, _ = b.survivors(codes, weights, late, theta)
+            assert len(places) <= b.sizes[codes[1]] < len(b.ids) / 10
+    finally:
+        PR.Segment.probe = PR.PROBE
