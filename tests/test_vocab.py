@@ -132,3 +132,31 @@ def test_stems_are_placed_not_looked_up(spark):
     assert sorted(map(str, map(tuple, at))) == sorted(map(str, want[-1:] + want[4:5]))
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "map_from_entries" not in plan and "try_element_at" not in plan
+
+
+def test_stems_go_back_by_segment(spark, monkeypatch):
+    """A row for each word of a segment meets the stems, none for a token; rows come back from segments cut anywhere."""
+    from claimtext.operators import segments as SG
+    from claimtext.operators import vocab as VO
+    rows = [(i, ["chats", f"genoux{i % 3}", "chats", None, "maisons"] * 20, {"a": [i]}) for i in range(12)] + [(None, None, None), (5, [], {})]
+    df = spark.createDataFrame(rows, "id long, t array<string>, x map<string,array<int>>").repartition(2)
+    want = sorted(str((i, t and [{"chats": "chat", "maisons": "maison"}.get(w, w) for w in t], x)) for i, t, x in rows)
+    met = []
+    plain = SG.with_values
+    monkeypatch.setattr(SG, "with_values", lambda segments, values: met.append(values) or plain(segments, values))
+    for limit in (SG.SEGMENT_WORDS, 150):
+        monkeypatch.setattr(SG, "SEGMENT_WORDS", limit)
+        monkeypatch.setattr(SG, "BATCH_WORDS", 130)
+        assert sorted(str(tuple(r)) for r in VO.stemmed_tokens(df, "id", "t").collect()) == want
+    assert met[0].count() <= 2 * 5  # of 960 tokens
+    texts = spark.createDataFrame([(1, "Les fractures"), (2, None)], "id long, text string")
+    got = VO.process_strings(texts, "id", "text", "text")
+    assert got.columns == ["id", "text"] and {r.id: r.text for r in got.collect()} == {
+        r.id: r.clean for r in VO.process_strings(texts, "id", "text", "clean").collect()}
+
+
+def test_filter_keeps_each_spelling(spark):
+    """Words of one key keep their own spellings and places."""
+    df = spark.createDataFrame([(1, "Le LE le x Le l\u00c9 l\u00e9")], "id long, phrase string")
+    vocab = spark.createDataFrame([("le",), ("l\u00e9",)], "word string")
+    assert VO.vocabulary_filter(df, "id", "phrase", vocab, stem=False).first()["phrase"] == "Le LE le Le l\u00c9 l\u00e9 "
